@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -54,8 +55,12 @@ def save(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
+    schema = df.schema
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of finished jobs
+    out = spark.read.schema(schema).parquet(path)
     out._quillspark_path = path
     return out
 
