@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.bpe import op1_bpe
+from quillspark.llm.minhash import op4_minhash
+from quillspark.llm.packing import op3_packing
+from quillspark.llm.substrings import op6_substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query by name."""
-    return {"op1_bpe": op1_bpe}
+    return {"op1_bpe": op1_bpe, "op3_packing": op3_packing, "op4_minhash": op4_minhash, "op6_substrings": op6_substrings}
 
 
 def oracle_sql() -> dict[str, str]:
