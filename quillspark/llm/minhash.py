@@ -13,8 +13,9 @@ Verification.  Links are confirmed on the full sets, without all pairs of a buck
 sets are one class from the start; in each round every bucket that still holds more than
 one component names pivots, and its other members are held against them.  Members that
 link to a pivot are then in its component, so pairs within one component are never made.
-The number of pivots grows fourfold each round, and a pivot that has been held against its
-bucket is spent, so every pair of a bucket is either tested or already connected.
+The number of pivots grows sixteenfold each round, and a pivot that has been held against its
+bucket is spent, so every pair of a bucket is tested, already connected, or ruled out: the
+shingles that a set shares with no other set bound its similarity to any.
 
 Edge cases: null or empty text has an empty set and links with nothing; a text with fewer
 words than a shingle is one shingle; rows that share a doc_id share its component; a null
@@ -122,27 +123,26 @@ def components(links: DataFrame) -> DataFrame:
     Each step is a join with the least neighbour of each node; no neighbour list is gathered.
     """
     edges = save(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = None
-    while True:
+    while not _stars(edges):
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = save(large, "large-star")
+        large = save(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large-star")
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select("a", "b", "m")
-        small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(down.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        new = save(small, "small-star")
+        small = large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        new = save(small.unionAll(down.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "small-star")
         drop(large)
         drop(edges)
         edges = new
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == state:
-            break
-        state = tuple(now)
-    # every edge now leads from a node to the least node of its component
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node but the centres has one edge, to a centre."""
+    twice = edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1")
+    inner = edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi")
+    return not twice.select("a").unionAll(inner.select("a")).take(1)
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, per: int, of: int) -> DataFrame:
     """Those pairs (a, b) whose sets' intersection is at least per/of of their union."""
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -151,61 +151,78 @@ def _linked(pairs: DataFrame, sets: DataFrame, per: int, of: int) -> DataFrame:
     return both.where(of * F.col("shared") >= per * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b").distinct()
 
 
+#: Whether two sets of n and m shingles, of which u and v are in no other set, could have the similarity.
+_POSSIBLE = "{of} * least(n - u, m - v) >= {per} * greatest(n + v, m + u)"
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, per: int = 80, of: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document; links need similarity per/of on shingles of `size` words."""
+    possible = _POSSIBLE.format(per=per, of=of)
     sketched = save(sketches(docs, size), "sketches")
     full = sketched.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     members = save(full.select("doc_id", "k1", "k2", "n_shingles").join(classes, ["k1", "k2", "n_shingles"]).select("doc_id", "n_shingles", "rep", "k1", "k2"), "members")
     firsts = full.join(members.where("doc_id = rep").select("doc_id", "k1", "k2").distinct(), ["doc_id", "k1", "k2"], "left_semi")
-    banded = save(firsts.select("doc_id", "n_shingles", F.explode("bands").alias("band")), "bands")
+    banded = save(firsts.select("doc_id", F.explode("bands").alias("band")).distinct(), "bands")
     shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    hits = save(banded.join(shared, "band", "left_semi").select("band", "doc_id", "n_shingles"), "hits")
+    hits = save(banded.join(shared, "band", "left_semi").select("band", "doc_id"), "hits")
     drop(banded)
-    involved = hits.select("doc_id").distinct()
-    sets = save(full_sets(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(involved, "doc_id", "left_semi"), size), "sets")
-
-    links = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found: list[DataFrame] = []
+    sets = full_sets(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(hits.select("doc_id").distinct(), "doc_id", "left_semi"), size)
+    sets = save(sets, "sets")
+    # shingles that no other set has bound a set's similarity to every other: most that share a band by chance or by a passage end here
+    alone = sets.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id = last").groupBy("doc_id").agg(F.count("*").alias("u"))
+    bound = sets.select("doc_id", F.size("shingles").alias("n")).groupBy("doc_id").agg(F.min("n").cast("bigint").alias("n"), F.count("*").alias("rows"))
+    bound = bound.join(alone, "doc_id", "left").select("doc_id", "n", F.when(F.col("rows") == 1, F.coalesce("u", F.lit(0))).otherwise(F.lit(0)).alias("u"))
+    bound = save(bound.where(f"{of} * (n - u) >= {per} * n"), "bound")
+
+    # rows that share a doc_id but not the text lie in several classes, which they connect
+    several = members.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
+    joined = save(members.join(several, "doc_id").select(F.col("rep").alias("a"), F.col("lo").alias("b")).where("a <> b").distinct(), "joined")
+    found: list[DataFrame] = [joined] if joined.take(1) else []
     tested: list[DataFrame] = []
-    open_ = save(hits.select("band", "doc_id", "n_shingles", F.col("doc_id").alias("comp")), "open")
+    open_ = save(_unsettled(hits.join(bound, "doc_id").withColumn("comp", F.col("doc_id"))), "open")
     drop(hits)
-    pivots = 1
+    comps, pivots = (components(joined) if found else None), 1
     while open_.take(1):
-        # a pivot of a bucket is one of its `pivots` members of least hash; a hash prefix keeps them apart without sorting a bucket in one task
-        order = F.xxhash64("band", "doc_id")
-        if pivots == 1:
-            chosen = open_.groupBy("band").agg(F.min_by("doc_id", order).alias("pivot")).select("band", "pivot")
-        else:
-            slot = open_.withColumn("slot", F.pmod(F.xxhash64("doc_id", "band"), F.lit(pivots)))
-            chosen = slot.groupBy("band", "slot").agg(F.min_by("doc_id", order).alias("pivot")).select("band", "pivot")
-        mine = open_.select("band", F.col("doc_id").alias("pivot"), F.col("n_shingles").alias("pn"), F.col("comp").alias("pcomp"))
-        chosen = save(chosen.join(mine, ["band", "pivot"]).distinct(), "pivots")
-        pairs = open_.join(chosen, "band").where("doc_id <> pivot and comp <> pcomp").where(of * F.least("pn", "n_shingles") >= per * F.greatest("pn", "n_shingles"))
+        # pivots are members with few shingles of their own, to which the others most likely link
+        slot = F.pmod(F.xxhash64("doc_id", "band"), F.lit(pivots))
+        rank = F.col("u") * (1 << 20) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+        chosen = open_.groupBy("band", slot.alias("slot")).agg(F.min_by(F.struct("doc_id", "n", "u", "comp"), rank).alias("p"))
+        chosen = save(chosen.selectExpr("band", "p.doc_id as pivot", "p.n as m", "p.u as v", "p.comp as pcomp"), "pivots")
+        pairs = open_.join(chosen, "band").where(f"doc_id <> pivot and comp <> pcomp and {possible}")
         pairs = pairs.select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
         for old in tested:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
         pairs = save(pairs, "pairs")
-        tested.append(pairs)
-        found.append(save(_linked(pairs, sets, per, of), "links"))
-        comps = components(_union(found)) if any(f.take(1) for f in found) else None
-        left = open_.join(chosen.select("band", F.col("pivot").alias("doc_id")), ["band", "doc_id"], "left_anti").select("band", "doc_id", "n_shingles")
-        if comps is not None:
-            left = left.join(comps, left.doc_id == comps.node, "left").select("band", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("comp"))
-        else:
-            left = left.withColumn("comp", F.col("doc_id"))
-        mixed = left.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-        new = save(left.join(mixed, "band", "left_semi"), "open")
+        left = open_.join(chosen.select("band", F.col("pivot").alias("doc_id")), ["band", "doc_id"], "left_anti").select("band", "doc_id", "n", "u", "comp")
+        if pairs.take(1):
+            tested.append(pairs)
+            links = save(_linked(pairs, sets, per, of), "links")
+            if links.take(1):
+                found.append(links)
+                comps = components(_union(found))
+                left = left.drop("comp").join(comps, left.doc_id == comps.node, "left").select("band", "doc_id", "n", "u", F.coalesce("component", "doc_id").alias("comp"))
+        new = save(_unsettled(left), "open")
         drop(open_)
         drop(chosen)
-        open_, pivots = new, pivots * 4
+        open_, pivots = new, pivots * 16
     drop(sets)
-    every = components(_union([links, *found]))
-    out = sketched.select("doc_id", "n_shingles").join(every, sketched.doc_id == every.node, "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = members.select("doc_id", "n_shingles", "rep")
+    if comps is None:
+        out = out.withColumn("component_id", F.col("rep"))
+    else:
+        out = out.join(comps, out.rep == comps.node, "left").withColumn("component_id", F.coalesce("component", "rep"))
+    rest = sketched.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = out.select("doc_id", "n_shingles", "component_id").unionAll(rest)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _unsettled(rows: DataFrame) -> DataFrame:
+    """The rows of bands with more than one component."""
+    mixed = rows.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
+    return rows.join(mixed, "band", "left_semi")
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
