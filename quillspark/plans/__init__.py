@@ -1 +1,3 @@
-"""See the module docstrings."""
+"""Queries; importing this package registers them."""
+
+from quillspark.plans import supervision  # noqa: F401
