@@ -10,8 +10,10 @@ Banding.  With 32 bands of 5 coordinates, a pair at similarity 0.8 shares no ban
 probability (1 - 0.8**5)**32 < 4e-6.
 
 Verification.  Links are confirmed on the full sets, without all pairs of a bucket: equal
-sets are one class from the start; in each round every bucket that still holds more than
-one component names pivots, and its other members are held against them.  Members that
+sets are one class from the start; each bucket that holds more than one component names a
+pivot, and its other members are held against it.  Documents of buckets that still hold
+several components are then dealt into buckets by their rarest shingles, of which similar
+sets must share one, and in each round these name pivots.  Members that
 link to a pivot are then in its component, so pairs within one component are never made.
 The number of pivots grows sixteenfold each round, and a pivot that has been held against its
 bucket is spent, so every pair of a bucket is tested, already connected, or ruled out: the
@@ -30,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.llm import words
@@ -182,7 +185,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, per: int = 80, of: int = 100
     tested: list[DataFrame] = []
     open_ = save(_unsettled(hits.join(bound, "doc_id").withColumn("comp", F.col("doc_id"))), "open")
     drop(hits)
-    comps, pivots = (components(joined) if found else None), 1
+    comps, first, pivots = (components(joined) if found else None), True, 1
     while open_.take(1):
         # pivots are members with few shingles of their own, to which the others most likely link
         slot = F.pmod(F.xxhash64("doc_id", "band"), F.lit(pivots))
@@ -202,10 +205,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, per: int = 80, of: int = 100
                 found.append(links)
                 comps = components(_union(found))
                 left = left.drop("comp").join(comps, left.doc_id == comps.node, "left").select("band", "doc_id", "n", "u", F.coalesce("component", "doc_id").alias("comp"))
-        new = save(_unsettled(left), "open")
+        left = _unsettled(left)
+        if first:
+            left = _unsettled(_prefixes(save(left, "bands-left"), sets, per, of))
+        new = save(left, "open")
         drop(open_)
         drop(chosen)
-        open_, pivots = new, pivots * 16
+        open_, first, pivots = new, False, 1 if first else pivots * 16
     drop(sets)
     out = members.select("doc_id", "n_shingles", "rep")
     if comps is None:
@@ -217,6 +223,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, per: int = 80, of: int = 100
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _prefixes(rows: DataFrame, sets: DataFrame, per: int, of: int) -> DataFrame:
+    """The same documents dealt into buckets of another kind: the rarest shingles of each set, as many as any set of the similarity must meet.
+
+    Two such sets share a shingle among the n - ceil(n * per / of) + 1 rarest of each, in one order for all.
+    """
+    live = rows.select("doc_id", "n", "u", "comp").distinct()
+    each = sets.join(live, "doc_id").select("doc_id", "n", "u", "comp", F.explode("shingles").alias("band"))
+    common = each.groupBy("band").agg(F.count("*").alias("df")).where("df > 1")
+    shared = each.join(common, "band")
+    alone = F.col("n") - F.count("*").over(W.partitionBy("doc_id"))  # these come first in a set's order
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy("df", "band")) + alone
+    most = F.col("n") - F.ceil(F.col("n") * per / of) + 1
+    return shared.select("band", "doc_id", "n", "u", "comp", place.alias("place"), most.alias("most")).where("place <= most").select("band", "doc_id", "n", "u", "comp")
+
+
 def _unsettled(rows: DataFrame) -> DataFrame:
     """The rows of bands with more than one component."""
     mixed = rows.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
