@@ -42,7 +42,6 @@ _WORD = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}
 _WORD_ASCII = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\s0-9a-z\x1c-\x1f]+|[\x1c-\x1f]+""")
 #: What str.split() takes for white space though Unicode does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
-_LITTLE = struct.Struct("<I")
 _END = "\n"  # stands for the end of a word: no byte is shown by this character
 
 
@@ -59,18 +58,23 @@ def _shown_bytes() -> list[str]:
 
 
 class _Kept(dict):
-    """Text -> its ids as little-endian bytes, by the given function; starts anew at WORDS_KEPT entries."""
+    """Text -> its ids as little-endian bytes, by the given function; of WORDS_KEPT entries the older half gives way."""
 
     def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
         self.make = make
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, text: str) -> bytes:
-        if len(self) >= WORDS_KEPT:
+        got = self.older.get(text)
+        if got is None:
+            got = self.make(text)
+            if len(text) >= 64:
+                return got
+        if len(self) >= WORDS_KEPT // 2:
+            self.older = dict(self)
             self.clear()
-        got = self.make(text)
-        if len(text) < 64:
-            self[text] = got
+        self[text] = got
         return got
 
 
@@ -97,7 +101,7 @@ class Bpe:
         self.found.make_automaton()
         self.follows: dict[int, bool] = {}
         self.single: dict[int, bool] = {}
-        self.words = _Kept(lambda w: b"".join(map(_LITTLE.pack, self.word(w))))
+        self.words = _Kept(lambda w: struct.pack(f"<{len(ids := self.word(w))}I", *ids))
         self.chunks = _Kept(self._chunk)
         shown = {**{i: t for t, i in vocab.items()}, **{i: t for t, i in special.items()}}
         parts = [shown.get(i, "").encode() + b" " for i in range(max(shown) + 1)]
@@ -145,15 +149,23 @@ class Bpe:
         out: list[int] = []
         back: list[tuple[int, int]] = []
         dead = bytearray(n + 1)
+        follows = self.follows
         at = k = 0
         while at < n:
             hits = starts[at]
-            while k < len(hits):
+            for k in range(k, len(hits)):
                 token, size = hits[k]
-                k += 1
-                if not dead[at + size] and (self._may_follow(out[-1], token) if out else self._alone(token)):
+                if dead[at + size]:
+                    continue
+                if out:
+                    ok = follows.get(out[-1] << 20 | token)
+                    if ok is None:
+                        ok = self._may_follow(out[-1], token)
+                else:
+                    ok = self._alone(token)
+                if ok:
                     out.append(token)
-                    back.append((at, k))
+                    back.append((at, k + 1))
                     at, k = at + size, 0
                     break
             else:
