@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import save, table
 
-SAMPLES = 64
+SAMPLES = 32  # with 64, Spark cannot compile the aggregate
 BLOCK_ROWS = 10_000
 _SPLIT = r"[\x20\x09-\x0D]+"
 
@@ -51,18 +51,23 @@ def next_ids(ids: DataFrame) -> DataFrame:
     return inner.join(after, "block").select("doc_id", F.when(F.col("last"), F.col("after")).otherwise(F.col("next_id")).alias("next_id"))
 
 
+#: Stands for a null doc_id in joins, so that rows stay dealt out by the key.
+_NO_ID = -(1 << 63)
+
+
 def edited_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, next_id, text, edited of every row, partitioned by doc_id: the last quarter replaced by the next document's first characters."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    """key, doc_id, next_id, text, edited of every row, dealt out by key (doc_id, or a stand-in for null): the last quarter replaced by the next document's first characters."""
+    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("key")
+    texts = docs.select(key, F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     sizes = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.length("text"), F.lit(0)).alias("n"))
     wants = sizes.groupBy("doc_id").agg(F.expr("cast(max(n) div 4 as int)").alias("take"))
-    wants = next_ids(sizes).alias("x").join(wants.alias("w"), F.expr("x.doc_id <=> w.doc_id")).selectExpr("x.doc_id as before", "x.next_id as next_id", "w.take as take")
-    wants = save(wants, "next")
-    heads = texts.join(wants, F.expr("doc_id <=> next_id")).select("before", "next_id", F.expr("substring(text, 1, take)").alias("head"))
-    heads = heads.groupBy("before", "next_id").agg(F.min("head").alias("head"))
-    both = texts.join(heads, F.expr("doc_id <=> before"))
+    wants = next_ids(sizes).alias("x").join(wants.alias("w"), F.expr("x.doc_id <=> w.doc_id"))
+    wants = save(wants.selectExpr(f"coalesce(x.doc_id, cast({_NO_ID} as bigint)) as before", f"coalesce(x.next_id, cast({_NO_ID} as bigint)) as after", "w.take as take"), "next")
+    heads = texts.join(wants, F.expr("key = after")).select("before", "after", F.expr("substring(text, 1, take)").alias("head"))
+    heads = heads.groupBy("before", "after").agg(F.min("head").alias("head"))
+    both = texts.join(heads, F.expr("key = before"))
     keep = "length(text) - length(text) div 4"
-    return both.selectExpr("doc_id", "next_id", "text", f"concat(substring(text, 1, cast({keep} as int)), substring(head, 1, cast(length(text) div 4 as int))) as edited")
+    return both.selectExpr("key", "doc_id", "after as next_id", "text", f"concat(substring(text, 1, cast({keep} as int)), substring(head, 1, cast(length(text) div 4 as int))) as edited")
 
 
 def _uniform(bits: Column, shift: int, width: int) -> Column:
@@ -71,20 +76,20 @@ def _uniform(bits: Column, shift: int, width: int) -> Column:
 
 
 def samples(texts: DataFrame, k: int = SAMPLES) -> DataFrame:
-    """doc_id, next_id, n_chars, edited_sha256, s (samples of the text), e (of the edited text); texts is from edited_texts()."""
+    """key, doc_id, next_id, n_chars, edited_sha256, s (samples of the text), e (of the edited text); texts is from edited_texts()."""
     # the words that both texts have: those before the last white space in what is kept
     kept = "substring(text, 1, cast(length(text) - length(text) div 4 as int))"
-    rows = texts.selectExpr("doc_id", "next_id", "monotonically_increasing_id() as row", "cast(length(text) as bigint) as n_chars", "sha2(cast(edited as binary), 256) as sha", f"regexp_extract({kept}, '(?s)^.*[\\\\x20\\\\x09-\\\\x0D]', 0) as both", "text", "edited")
+    rows = texts.selectExpr("key", "doc_id", "next_id", "monotonically_increasing_id() as row", "cast(length(text) as bigint) as n_chars", "sha2(cast(edited as binary), 256) as sha", f"regexp_extract({kept}, '(?s)^.*[\\\\x20\\\\x09-\\\\x0D]', 0) as both", "text", "edited")
     rows = rows.selectExpr(
-        "doc_id", "next_id", "row", "n_chars", *(f"cast(conv(substring(sha, {1 + 15 * i}, 15), 16, 10) as bigint) as sha{i}" for i in range(5)),
+        "key", "doc_id", "next_id", "row", "n_chars", *(f"cast(conv(substring(sha, {1 + 15 * i}, 15), 16, 10) as bigint) as sha{i}" for i in range(5)),
         "array(struct(1 as o, 1 as e, both as part), struct(1 as o, 0 as e, substring(text, length(both) + 1) as part), struct(0 as o, 1 as e, substring(edited, length(both) + 1) as part)) as parts",
     )
-    keys = ["doc_id", "next_id", "row", "n_chars", *(f"sha{i}" for i in range(5))]
+    keys = ["key", "doc_id", "next_id", "row", "n_chars", *(f"sha{i}" for i in range(5))]
     parts = rows.select(*keys, F.inline("parts")).select(*keys, "o", "e", F.explode(F.split("part", _SPLIT)).alias("word"))
     terms = parts.select(*keys, F.when(F.col("word") != "", F.xxhash64("word")).alias("term"), "o", "e")
-    # the columns beside doc_id and row only ride along
-    ride = [F.max(c).alias(c) for c in keys if c not in ("doc_id", "row")]
-    counted = terms.groupBy("doc_id", "row", "term").agg(F.sum("o").alias("o"), F.sum("e").alias("e"), *ride)
+    # the columns beside key and row only ride along
+    ride = [F.max(c).alias(c) for c in keys if c not in ("key", "row")]
+    counted = terms.groupBy("key", "row", "term").agg(F.sum("o").alias("o"), F.sum("e").alias("e"), *ride)
     weighed = counted.select(*keys, "term", F.when(F.col("term").isNotNull() & (F.col("o") > 0), F.log("o")).alias("lo"), F.when(F.col("term").isNotNull() & (F.col("e") > 0), F.log("e")).alias("le"))
     mins = []
     for i in range(k):
@@ -94,10 +99,10 @@ def samples(texts: DataFrame, k: int = SAMPLES) -> DataFrame:
         beta = _uniform(h2, 42, 22)
         for side in ("lo", "le"):
             mins.append(F.min(c - r * (F.floor(F.col(side) / r + beta) - beta + 1)).alias(f"{side}{i}"))
-    least = weighed.groupBy("doc_id", "row").agg(*(F.max(c).alias(c) for c in keys if c not in ("doc_id", "row")), *mins)
+    least = weighed.groupBy("key", "row").agg(*ride, *mins)
     short = lambda c: F.xxhash64(F.coalesce(F.col(c), F.lit(0.0))).bitwiseAND(F.lit(0x7FFF)).cast("smallint")
     sha = F.concat(*(F.lpad(F.lower(F.conv(F.col(f"sha{i}").cast("string"), 10, 16)), 15 if i < 4 else 4, "0") for i in range(5)))
-    return least.select("doc_id", "next_id", "n_chars", sha.alias("edited_sha256"), F.array(*(short(f"lo{i}") for i in range(k))).alias("s"), F.array(*(short(f"le{i}") for i in range(k))).alias("e"))
+    return least.select("key", "doc_id", "next_id", "n_chars", sha.alias("edited_sha256"), F.array(*(short(f"lo{i}") for i in range(k))).alias("s"), F.array(*(short(f"le{i}") for i in range(k))).alias("e"))
 
 
 def likeness(a: str, b: str) -> Column:
@@ -114,8 +119,8 @@ def fingerprint(docs: DataFrame, k: int = SAMPLES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every row."""
     signed = save(samples(edited_texts(docs), k), "samples")
     # rows that share a doc_id: the next document's fingerprint is that of its first text, and so of the first samples in order of length and value
-    other = signed.groupBy(F.col("doc_id").alias("id")).agg(F.min("s").alias("s_next"))
-    both = signed.join(other, F.expr("next_id <=> id"))
+    other = signed.groupBy(F.col("key").alias("id")).agg(F.min("s").alias("s_next"))
+    both = signed.join(other, F.expr("next_id = id"))
     return both.select("doc_id", "n_chars", "edited_sha256", shown("s").alias("fingerprint"), shown("e").alias("edited_fingerprint"), likeness("s", "e").alias("near_edited"), likeness("s", "s_next").alias("near_next"))
 
 
