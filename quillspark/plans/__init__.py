@@ -1,3 +1,3 @@
 """Queries; importing this package registers them."""
 
-from quillspark.plans import evaluation, supervision  # noqa: F401
+from quillspark.plans import evaluation, rl, supervision  # noqa: F401
