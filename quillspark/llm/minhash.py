@@ -155,7 +155,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, per: int, of: int) -> DataFrame:
 
 
 #: Whether two sets of n and m shingles, of which u and v are in no other set, could have the similarity.
-_POSSIBLE = "{of} * least(n - u, m - v) >= {per} * greatest(n + v, m + u)"
+_POSSIBLE = "coalesce(n + m is null or {of} * least(n - u, m - v) >= {per} * greatest(n + v, m + u), true)"
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, per: int = 80, of: int = 100) -> DataFrame:
@@ -171,12 +171,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, per: int = 80, of: int = 100
     hits = save(banded.join(shared, "band", "left_semi").select("band", "doc_id"), "hits")
     drop(banded)
     sets = full_sets(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(hits.select("doc_id").distinct(), "doc_id", "left_semi"), size)
-    sets = save(sets, "sets")
+    sets = save(sets.where(F.size("shingles") > 0), "sets")
     # shingles that no other set has bound a set's similarity to every other: most that share a band by chance or by a passage end here
     alone = sets.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id = last").groupBy("doc_id").agg(F.count("*").alias("u"))
+    # a doc_id with several rows has no bounds (null)
     bound = sets.select("doc_id", F.size("shingles").alias("n")).groupBy("doc_id").agg(F.min("n").cast("bigint").alias("n"), F.count("*").alias("rows"))
-    bound = bound.join(alone, "doc_id", "left").select("doc_id", "n", F.when(F.col("rows") == 1, F.coalesce("u", F.lit(0))).otherwise(F.lit(0)).alias("u"))
-    bound = save(bound.where(f"{of} * (n - u) >= {per} * n"), "bound")
+    bound = bound.join(alone, "doc_id", "left").select("doc_id", F.when(F.col("rows") == 1, F.col("n")).alias("n"), F.coalesce("u", F.lit(0)).alias("u"))
+    bound = save(bound.where(f"coalesce({of} * (n - u) >= {per} * n, true)"), "bound")
 
     # rows that share a doc_id but not the text lie in several classes, which they connect
     several = members.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
@@ -235,7 +236,7 @@ def _prefixes(rows: DataFrame, sets: DataFrame, per: int, of: int) -> DataFrame:
     alone = F.col("n") - F.count("*").over(W.partitionBy("doc_id"))  # these come first in a set's order
     place = F.row_number().over(W.partitionBy("doc_id").orderBy("df", "band")) + alone
     most = F.col("n") - F.ceil(F.col("n") * per / of) + 1
-    return shared.select("band", "doc_id", "n", "u", "comp", place.alias("place"), most.alias("most")).where("place <= most").select("band", "doc_id", "n", "u", "comp")
+    return shared.select("band", "doc_id", "n", "u", "comp", place.alias("place"), most.alias("most")).where("coalesce(place <= most, true)").select("band", "doc_id", "n", "u", "comp")
 
 
 def _unsettled(rows: DataFrame) -> DataFrame:

@@ -85,8 +85,9 @@ class Model:
 
     @staticmethod
     def fit(rows: list[tuple[str, int]]) -> Model | None:
-        """From (text, label) rows: two of three train the dictionaries, the third calibrates."""
-        train, held = [r for i, r in enumerate(rows) if i % 3 != 2], [r for i, r in enumerate(rows) if i % 3 == 2]
+        """From (text, label) rows: two of three of either label train the dictionaries, the third calibrates."""
+        kinds = [[r for r in rows if bool(r[1]) == kind] for kind in (True, False)]
+        train, held = [r for own in kinds for i, r in enumerate(own) if i % 3 != 2], [r for own in kinds for r in own[2::3]]
         toxic, ordinary = list(dict.fromkeys(t for t, y in train if y)), list(dict.fromkeys(t for t, y in train if not y))
         if not toxic or not ordinary:
             return None
