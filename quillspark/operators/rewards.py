@@ -56,5 +56,8 @@ def cosine_length(length: Column, longest: int, low: float, high: float) -> Colu
 def repetition_penalty(text: Column, n: int, most: float) -> Column:
     """(1 - distinct n-grams / n-grams) * most, over lower-case words; 0 for blank and short texts."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
-    grams = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))
+    grams = words
+    for k in range(1, n):
+        grams = F.zip_with(grams, F.slice(words, k + 1, F.lit(1 << 30)), lambda a, b: F.concat(a, F.lit(" "), b))
+    grams = F.filter(grams, lambda g: g.isNotNull())
     return F.when(F.size(words) >= n, (1.0 - F.size(F.array_distinct(grams)) / F.size(grams)) * most).otherwise(0.0)
