@@ -1,3 +1,3 @@
 """Queries; importing this package registers them."""
 
-from quillspark.plans import conversations, evaluation, rl, supervision  # noqa: F401
+from quillspark.plans import conversations, evaluation, ranking, rl, sampling, supervision  # noqa: F401
