@@ -30,6 +30,7 @@ def think_block(text: Column) -> Column:
 
 def split_steps(text: Column, mark: str = "<step split>") -> Column:
     """Steps of a response: by the mark, else by empty lines, else by lines; blank ones drop out."""
+    text = trim(text)
     by_mark, by_blank = F.split(text, mark), F.split(text, r"\n\s*\n")
     parts = F.when(F.size(by_mark) > 1, by_mark).when(F.size(by_blank) > 1, by_blank).otherwise(F.split(text, "\n"))
     return F.filter(F.transform(parts, trim), lambda x: x != "")

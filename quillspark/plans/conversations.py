@@ -116,7 +116,7 @@ def text_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("doc_id", F.length("t").cast("bigint").alias("chars"), F.size(texts.lines(F.col("t"))).cast("bigint").alias("lines"), F.md5(F.col("t").cast("binary")).alias("digest"))
 
 
-@query("step_split", """select doc_id, len(list_filter(case when contains(text, chr(10) || chr(10)) then string_split_regex(text, '\\n\\s*\\n') else string_split(text, chr(10)) end, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13)) <> '')) as steps from documents""")
+@query("step_split", """with t as (select doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) as text from documents) select doc_id, len(list_filter(case when contains(text, chr(10) || chr(10)) then string_split_regex(text, '\\n\\s*\\n') else string_split(text, chr(10)) end, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13)) <> '')) as steps from t""")
 def step_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of steps that responses are split into."""
     return table(spark, sf_dir, "documents").select("doc_id", F.size(texts.split_steps(F.col("text"))).cast("bigint").alias("steps"))
