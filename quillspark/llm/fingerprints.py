@@ -51,14 +51,14 @@ def next_ids(ids: DataFrame) -> DataFrame:
     return inner.join(after, "block").select("doc_id", F.when(F.col("last"), F.col("after")).otherwise(F.col("next_id")).alias("next_id"))
 
 
-#: Stands for a null doc_id in joins, so that rows stay dealt out by the key.
+#: Stands for a null doc_id in joins, so that rows stay dealt out by the key; no id may be this.
 _NO_ID = -(1 << 63)
 
 
 def edited_texts(docs: DataFrame) -> DataFrame:
-    """key, doc_id, next_id, text, edited of every row, dealt out by key (doc_id, or a stand-in for null): the last quarter replaced by the next document's first characters."""
+    """key, next_id, text, edited of every row, dealt out by key (doc_id, or a stand-in for null): the last quarter replaced by the next document's first characters."""
     key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("key")
-    texts = docs.select(key, F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(key, F.coalesce("text", F.lit("")).alias("text"))  # the same columns for both joins, so that the text is dealt out once
     sizes = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.length("text"), F.lit(0)).alias("n"))
     wants = sizes.groupBy("doc_id").agg(F.expr("cast(max(n) div 4 as int)").alias("take"))
     wants = next_ids(sizes).alias("x").join(wants.alias("w"), F.expr("x.doc_id <=> w.doc_id"))
@@ -67,7 +67,7 @@ def edited_texts(docs: DataFrame) -> DataFrame:
     heads = heads.groupBy("before", "after").agg(F.min("head").alias("head"))
     both = texts.join(heads, F.expr("key = before"))
     keep = "length(text) - length(text) div 4"
-    return both.selectExpr("key", "doc_id", "after as next_id", "text", f"concat(substring(text, 1, cast({keep} as int)), substring(head, 1, cast(length(text) div 4 as int))) as edited")
+    return both.selectExpr("key", "after as next_id", "text", f"concat(substring(text, 1, cast({keep} as int)), substring(head, 1, cast(length(text) div 4 as int))) as edited")
 
 
 def _uniform(bits: Column, shift: int, width: int) -> Column:
@@ -79,12 +79,12 @@ def samples(texts: DataFrame, k: int = SAMPLES) -> DataFrame:
     """key, doc_id, next_id, n_chars, edited_sha256, s (samples of the text), e (of the edited text); texts is from edited_texts()."""
     # the words that both texts have: those before the last white space in what is kept
     kept = "substring(text, 1, cast(length(text) - length(text) div 4 as int))"
-    rows = texts.selectExpr("key", "doc_id", "next_id", "monotonically_increasing_id() as row", "cast(length(text) as bigint) as n_chars", "sha2(cast(edited as binary), 256) as sha", f"regexp_extract({kept}, '(?s)^.*[\\\\x20\\\\x09-\\\\x0D]', 0) as both", "text", "edited")
+    rows = texts.selectExpr("key", "next_id", "monotonically_increasing_id() as row", "cast(length(text) as bigint) as n_chars", "sha2(cast(edited as binary), 256) as sha", f"regexp_extract({kept}, '(?s)^.*[\\\\x20\\\\x09-\\\\x0D]', 0) as both", "text", "edited")
     rows = rows.selectExpr(
-        "key", "doc_id", "next_id", "row", "n_chars", *(f"cast(conv(substring(sha, {1 + 15 * i}, 15), 16, 10) as bigint) as sha{i}" for i in range(5)),
+        "key", "next_id", "row", "n_chars", *(f"cast(conv(substring(sha, {1 + 15 * i}, 15), 16, 10) as bigint) as sha{i}" for i in range(5)),
         "array(struct(1 as o, 1 as e, both as part), struct(1 as o, 0 as e, substring(text, length(both) + 1) as part), struct(0 as o, 1 as e, substring(edited, length(both) + 1) as part)) as parts",
     )
-    keys = ["key", "doc_id", "next_id", "row", "n_chars", *(f"sha{i}" for i in range(5))]
+    keys = ["key", "next_id", "row", "n_chars", *(f"sha{i}" for i in range(5))]
     parts = rows.select(*keys, F.inline("parts")).select(*keys, "o", "e", F.explode(F.split("part", _SPLIT)).alias("word"))
     terms = parts.select(*keys, F.when(F.col("word") != "", F.xxhash64("word")).alias("term"), "o", "e")
     # the columns beside key and row only ride along
@@ -102,7 +102,7 @@ def samples(texts: DataFrame, k: int = SAMPLES) -> DataFrame:
     least = weighed.groupBy("key", "row").agg(*ride, *mins)
     short = lambda c: F.xxhash64(F.coalesce(F.col(c), F.lit(0.0))).bitwiseAND(F.lit(0x7FFF)).cast("smallint")
     sha = F.concat(*(F.lpad(F.lower(F.conv(F.col(f"sha{i}").cast("string"), 10, 16)), 15 if i < 4 else 4, "0") for i in range(5)))
-    return least.select("key", "doc_id", "next_id", "n_chars", sha.alias("edited_sha256"), F.array(*(short(f"lo{i}") for i in range(k))).alias("s"), F.array(*(short(f"le{i}") for i in range(k))).alias("e"))
+    return least.select("key", F.nullif("key", F.lit(_NO_ID)).alias("doc_id"), "next_id", "n_chars", sha.alias("edited_sha256"), F.array(*(short(f"lo{i}") for i in range(k))).alias("s"), F.array(*(short(f"le{i}") for i in range(k))).alias("e"))
 
 
 def likeness(a: str, b: str) -> Column:
