@@ -15,7 +15,7 @@ pivot, and its other members are held against it.  Documents of buckets that sti
 several components are then dealt into buckets by their rarest shingles, of which similar
 sets must share one, and in each round these name pivots.  Members that
 link to a pivot are then in its component, so pairs within one component are never made.
-The number of pivots grows sixteenfold each round, and a pivot that has been held against its
+The number of pivots grows 64-fold each round, and a pivot that has been held against its
 bucket is spent, so every pair of a bucket is tested, already connected, or ruled out: the
 shingles that a set shares with no other set bound its similarity to any.
 
@@ -39,6 +39,8 @@ from quillspark.llm import words
 from quillspark.llm.common import drop, save, ship, slices, table
 
 BANDS, ROWS = 32, 5
+#: Sets with more rare shingles than this may be named with one partner in several buckets.
+EARLIER_KEPT = 96
 
 _ROUND_KEYS: dict[int, np.ndarray] = {}
 
@@ -184,35 +186,35 @@ def near_duplicates(docs: DataFrame, size: int = 5, per: int = 80, of: int = 100
     joined = save(members.join(several, "doc_id").select(F.col("rep").alias("a"), F.col("lo").alias("b")).where("a <> b").distinct(), "joined")
     found: list[DataFrame] = [joined] if joined.take(1) else []
     tested: list[DataFrame] = []
-    open_ = save(_unsettled(hits.join(bound, "doc_id").withColumn("comp", F.col("doc_id"))), "open")
+    open_ = save(_unsettled(hits.join(bound, "doc_id").withColumn("comp", F.col("doc_id")).withColumn("earlier", F.lit(None).cast("array<bigint>"))), "open")
     drop(hits)
     comps, first, pivots = (components(joined) if found else None), True, 1
     while open_.take(1):
         # pivots are members with few shingles of their own, to which the others most likely link
         slot = F.pmod(F.xxhash64("doc_id", "band"), F.lit(pivots))
         rank = F.col("u") * (1 << 20) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-        chosen = open_.groupBy("band", slot.alias("slot")).agg(F.min_by(F.struct("doc_id", "n", "u", "comp"), rank).alias("p"))
-        chosen = save(chosen.selectExpr("band", "p.doc_id as pivot", "p.n as m", "p.u as v", "p.comp as pcomp"), "pivots")
-        pairs = open_.join(chosen, "band").where(f"doc_id <> pivot and comp <> pcomp and {possible}")
+        chosen = open_.groupBy("band", slot.alias("slot")).agg(F.min_by(F.struct("doc_id", "n", "u", "comp", "earlier"), rank).alias("p"))
+        chosen = save(chosen.selectExpr("band", "p.doc_id as pivot", "p.n as m", "p.u as v", "p.comp as pcomp", "p.earlier as pearlier"), "pivots")
+        pairs = open_.join(chosen, "band").where(f"doc_id <> pivot and comp <> pcomp and {possible} and coalesce(not arrays_overlap(earlier, pearlier), true)")
         pairs = pairs.select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
         for old in tested:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
         pairs = save(pairs, "pairs")
-        left = open_.join(chosen.select("band", F.col("pivot").alias("doc_id")), ["band", "doc_id"], "left_anti").select("band", "doc_id", "n", "u", "comp")
+        left = open_.join(chosen.select("band", F.col("pivot").alias("doc_id")), ["band", "doc_id"], "left_anti").select("band", "doc_id", "n", "u", "comp", "earlier")
         if pairs.take(1):
             tested.append(pairs)
             links = save(_linked(pairs, sets, per, of), "links")
             if links.take(1):
                 found.append(links)
                 comps = components(_union(found))
-                left = left.drop("comp").join(comps, left.doc_id == comps.node, "left").select("band", "doc_id", "n", "u", F.coalesce("component", "doc_id").alias("comp"))
+                left = left.drop("comp").join(comps, left.doc_id == comps.node, "left").select("band", "doc_id", "n", "u", F.coalesce("component", "doc_id").alias("comp"), "earlier")
         left = _unsettled(left)
         if first:
             left = _unsettled(_prefixes(save(left, "bands-left"), sets, per, of))
         new = save(left, "open")
         drop(open_)
         drop(chosen)
-        open_, first, pivots = new, False, 1 if first else pivots * 16
+        open_, first, pivots = new, False, 1 if first else pivots * 64
     drop(sets)
     out = members.select("doc_id", "n_shingles", "rep")
     if comps is None:
@@ -236,7 +238,10 @@ def _prefixes(rows: DataFrame, sets: DataFrame, per: int, of: int) -> DataFrame:
     alone = F.col("n") - F.count("*").over(W.partitionBy("doc_id"))  # these come first in a set's order
     place = F.row_number().over(W.partitionBy("doc_id").orderBy("df", "band")) + alone
     most = F.col("n") - F.ceil(F.col("n") * per / of) + 1
-    return shared.select("band", "doc_id", "n", "u", "comp", place.alias("place"), most.alias("most")).where("coalesce(place <= most, true)").select("band", "doc_id", "n", "u", "comp")
+    kept = shared.select("band", "doc_id", "n", "u", "comp", place.alias("place"), most.alias("most")).where("coalesce(place <= most, true)")
+    # the rarer shingles of the same set, by which a pair is named in the first bucket that it shares and in no other; long sets go without
+    before = F.collect_list("band").over(W.partitionBy("doc_id").orderBy("place").rowsBetween(W.unboundedPreceding, -1))
+    return kept.select("band", "doc_id", "n", "u", "comp", F.when(F.col("most") <= EARLIER_KEPT, before).alias("earlier"))
 
 
 def _unsettled(rows: DataFrame) -> DataFrame:
