@@ -158,11 +158,13 @@ def _linked(pairs: DataFrame, sets: DataFrame, per: int, of: int) -> DataFrame:
 
 #: Whether two sets of n and m shingles, of which u and v are in no other set, could have the similarity.
 _POSSIBLE = "coalesce(n + m is null or {of} * least(n - u, m - v) >= {per} * greatest(n + v, m + u), true)"
+#: Whether two sets whose first common shingle has these places in them could: they share it and what follows, at most.
+_REACH = "coalesce({of} * (1 + least(n - place, m - pplace)) >= {per} * (n + m - 1 - least(n - place, m - pplace)), true)"
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, per: int = 80, of: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document; links need similarity per/of on shingles of `size` words."""
-    possible = _POSSIBLE.format(per=per, of=of)
+    possible, reach = _POSSIBLE.format(per=per, of=of), _REACH.format(per=per, of=of)
     sketched = save(sketches(docs, size), "sketches")
     full = sketched.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
@@ -186,28 +188,28 @@ def near_duplicates(docs: DataFrame, size: int = 5, per: int = 80, of: int = 100
     joined = save(members.join(several, "doc_id").select(F.col("rep").alias("a"), F.col("lo").alias("b")).where("a <> b").distinct(), "joined")
     found: list[DataFrame] = [joined] if joined.take(1) else []
     tested: list[DataFrame] = []
-    open_ = save(_unsettled(hits.join(bound, "doc_id").withColumn("comp", F.col("doc_id")).withColumn("earlier", F.lit(None).cast("array<bigint>"))), "open")
+    open_ = save(_unsettled(hits.join(bound, "doc_id").withColumn("comp", F.col("doc_id")).withColumn("earlier", F.lit(None).cast("array<bigint>")).withColumn("place", F.lit(None).cast("bigint"))), "open")
     drop(hits)
     comps, first, pivots = (components(joined) if found else None), True, 1
     while open_.take(1):
         # pivots are members with few shingles of their own, to which the others most likely link
         slot = F.pmod(F.xxhash64("doc_id", "band"), F.lit(pivots))
         rank = F.col("u") * (1 << 20) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-        chosen = open_.groupBy("band", slot.alias("slot")).agg(F.min_by(F.struct("doc_id", "n", "u", "comp", "earlier"), rank).alias("p"))
-        chosen = save(chosen.selectExpr("band", "p.doc_id as pivot", "p.n as m", "p.u as v", "p.comp as pcomp", "p.earlier as pearlier"), "pivots")
-        pairs = open_.join(chosen, "band").where(f"doc_id <> pivot and comp <> pcomp and {possible} and coalesce(not arrays_overlap(earlier, pearlier), true)")
+        chosen = open_.groupBy("band", slot.alias("slot")).agg(F.min_by(F.struct("doc_id", "n", "u", "comp", "earlier", "place"), rank).alias("p"))
+        chosen = save(chosen.selectExpr("band", "p.doc_id as pivot", "p.n as m", "p.u as v", "p.comp as pcomp", "p.earlier as pearlier", "p.place as pplace"), "pivots")
+        pairs = open_.join(chosen, "band").where(f"doc_id <> pivot and comp <> pcomp and {possible} and coalesce(not arrays_overlap(earlier, pearlier), true) and {reach}")
         pairs = pairs.select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
         for old in tested:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
         pairs = save(pairs, "pairs")
-        left = open_.join(chosen.select("band", F.col("pivot").alias("doc_id")), ["band", "doc_id"], "left_anti").select("band", "doc_id", "n", "u", "comp", "earlier")
+        left = open_.join(chosen.select("band", F.col("pivot").alias("doc_id")), ["band", "doc_id"], "left_anti").select("band", "doc_id", "n", "u", "comp", "earlier", "place")
         if pairs.take(1):
             tested.append(pairs)
             links = save(_linked(pairs, sets, per, of), "links")
             if links.take(1):
                 found.append(links)
                 comps = components(_union(found))
-                left = left.drop("comp").join(comps, left.doc_id == comps.node, "left").select("band", "doc_id", "n", "u", F.coalesce("component", "doc_id").alias("comp"), "earlier")
+                left = left.drop("comp").join(comps, left.doc_id == comps.node, "left").select("band", "doc_id", "n", "u", F.coalesce("component", "doc_id").alias("comp"), "earlier", "place")
         left = _unsettled(left)
         if first:
             left = _unsettled(_prefixes(save(left, "bands-left"), sets, per, of))
@@ -241,7 +243,7 @@ def _prefixes(rows: DataFrame, sets: DataFrame, per: int, of: int) -> DataFrame:
     kept = shared.select("band", "doc_id", "n", "u", "comp", place.alias("place"), most.alias("most")).where("coalesce(place <= most, true)")
     # the rarer shingles of the same set, by which a pair is named in the first bucket that it shares and in no other; long sets go without
     before = F.collect_list("band").over(W.partitionBy("doc_id").orderBy("place").rowsBetween(W.unboundedPreceding, -1))
-    return kept.select("band", "doc_id", "n", "u", "comp", F.when(F.col("most") <= EARLIER_KEPT, before).alias("earlier"))
+    return kept.select("band", "doc_id", "n", "u", "comp", F.when(F.col("most") <= EARLIER_KEPT, before).alias("earlier"), F.when(F.col("n").isNotNull(), F.col("place").cast("bigint")).alias("place"))
 
 
 def _unsettled(rows: DataFrame) -> DataFrame:
