@@ -10,8 +10,8 @@ fingerprint is 16 bits of a hash of it for each sample.
 
 Everything is columns and aggregates: words are exploded where the documents' text lies,
 partitioned by doc_id, counted for each document, and each sample is a `min` over the
-document's terms.  A text and its edited text share the words before the edit, so both are
-sampled in one pass, with one set of random numbers for each term.
+document's terms, taken `PART` samples at a time.  A text and its edited text share the words
+before the edit, so both are sampled in one pass, and a term as frequent in both only once.
 
 The next document is found on ids alone: in blocks of doc_id, with the blocks' least ids in
 order for their last rows, so that no task sorts all ids.
@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import save, table
 
-SAMPLES = 32  # with 64, Spark cannot compile the aggregate
+SAMPLES = 64
+PART = 32  # samples of one aggregate: Spark cannot compile one of 64 for both texts
 BLOCK_ROWS = 10_000
 _SPLIT = r"[\x20\x09-\x0D]+"
 
@@ -90,19 +91,29 @@ def samples(texts: DataFrame, k: int = SAMPLES) -> DataFrame:
     # the columns beside key and row only ride along
     ride = [F.max(c).alias(c) for c in keys if c not in ("key", "row")]
     counted = terms.groupBy("key", "row", "term").agg(F.sum("o").alias("o"), F.sum("e").alias("e"), *ride)
-    weighed = counted.select(*keys, "term", F.when(F.col("term").isNotNull() & (F.col("o") > 0), F.log("o")).alias("lo"), F.when(F.col("term").isNotNull() & (F.col("e") > 0), F.log("e")).alias("le"))
+    # a term of equal weight in both texts is sampled once for both; without a word, a row of side 0 and no weight stays
+    sides = F.expr("if(o = e or term is null, array(struct(0 as side, if(o > 0 and term is not null, o, null) as n)), filter(array(struct(1 as side, o as n), struct(2 as side, e as n)), x -> x.n > 0))")
+    weighed = counted.select(*keys, "term", F.inline(sides)).withColumn("ln", F.log("n"))
+    # samples go in parts that each compile: a row of a term for each part, under a hash of the term that is the part's own
+    size = min(k, PART)
+    parts = [F.struct(F.lit(j).alias("part"), (F.xxhash64("term", F.lit(-j)) if j else F.col("term")).alias("term")) for j in range(-(-k // size))]
+    weighed = weighed.select(*keys, "side", F.when(F.col("term").isNotNull(), F.col("ln")).alias("ln"), F.inline(F.array(*parts)))
     mins = []
-    for i in range(k):
+    for i in range(size):
         h1, h2 = F.xxhash64(F.col("term"), F.lit(2 * i)), F.xxhash64(F.col("term"), F.lit(2 * i + 1))
         r = -F.log(_uniform(h1, 32, 32) * _uniform(h1, 0, 32))
         c = F.log(-F.log(_uniform(h2, 0, 21) * _uniform(h2, 21, 21)))
         beta = _uniform(h2, 42, 22)
-        for side in ("lo", "le"):
-            mins.append(F.min(c - r * (F.floor(F.col(side) / r + beta) - beta + 1)).alias(f"{side}{i}"))
-    least = weighed.groupBy("key", "row").agg(*ride, *mins)
-    short = lambda c: F.xxhash64(F.coalesce(F.col(c), F.lit(0.0))).bitwiseAND(F.lit(0x7FFF)).cast("smallint")
+        mins.append(F.min(c - r * (F.floor(F.col("ln") / r + beta) - beta + 1)).alias(f"m{i}"))
+    least = weighed.groupBy("key", "row", "part", "side").agg(*ride, *mins)
+    both = [F.min(F.when(F.col("side") != other, F.col(f"m{i}"))).alias(f"{name}{i}") for other, name in ((2, "s"), (1, "e")) for i in range(size)]
+    least = least.groupBy("key", "row", "part").agg(*ride, *both)
+    short = lambda c: F.shiftright(F.xxhash64(F.coalesce(F.col(c), F.lit(0.0))), 48).cast("smallint")
+    least = least.select(*keys, "part", *(F.array(*(short(f"{c}{i}") for i in range(size))).alias(c) for c in "se"))
+    of = lambda c: F.slice(F.concat(*(F.max(F.when(F.col("part") == j, F.col(c))) for j in range(len(parts)))), 1, k).alias(c)
+    least = least.groupBy("key", "row").agg(*ride, of("s"), of("e"))
     sha = F.concat(*(F.lpad(F.lower(F.conv(F.col(f"sha{i}").cast("string"), 10, 16)), 15 if i < 4 else 4, "0") for i in range(5)))
-    return least.select("key", F.nullif("key", F.lit(_NO_ID)).alias("doc_id"), "next_id", "n_chars", sha.alias("edited_sha256"), F.array(*(short(f"lo{i}") for i in range(k))).alias("s"), F.array(*(short(f"le{i}") for i in range(k))).alias("e"))
+    return least.select("key", F.nullif("key", F.lit(_NO_ID)).alias("doc_id"), "next_id", "n_chars", sha.alias("edited_sha256"), "s", "e")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -112,7 +123,7 @@ def likeness(a: str, b: str) -> Column:
 
 def shown(a: str) -> Column:
     """Samples as hexadecimal digits."""
-    return F.expr(f"array_join(transform({a}, x -> lpad(lower(hex(cast(x as bigint))), 4, '0')), '')")
+    return F.expr(f"array_join(transform({a}, x -> lpad(lower(hex(cast(x as bigint) & 65535)), 4, '0')), '')")
 
 
 def fingerprint(docs: DataFrame, k: int = SAMPLES) -> DataFrame:

@@ -214,6 +214,20 @@ def test_fingerprints(docs, empty):
     assert fingerprints.fingerprint(empty).count() == 0
 
 
+def test_fingerprints_have_64_samples_of_16_bits(spark):
+    a = [f"w{i}" for i in range(3000)]
+    rows = [(1, " ".join(a)), (2, " ".join(a[:1000] + [f"v{i}" for i in range(1000)]))]
+    got = {r.doc_id: r for r in fingerprints.fingerprint(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    digits = "".join(r[c] for r in got.values() for c in ("fingerprint", "edited_fingerprint"))
+    assert all(len(r.fingerprint) == len(r.edited_fingerprint) == 64 * 4 for r in got.values())
+    assert len(set(digits[::4])) == 16
+    assert len({got[2].fingerprint[i : i + 4] for i in range(0, 256, 4)}) > 60
+    assert abs(got[1].near_next - 0.25) < 0.2  # 1000 words of 4000
+    for r in got.values():  # likeness is the share of equal samples
+        pairs = [(r.fingerprint[i : i + 4], r.edited_fingerprint[i : i + 4]) for i in range(0, 256, 4)]
+        assert r.near_edited == sum(x == y for x, y in pairs) / 64
+
+
 def test_substrings(docs, empty):
     rows = corpus()
     seen = collections.Counter(tuple(w[i : i + 35]) for r in rows for w in [words(r[1])] for i in range(len(w) - 34))
