@@ -37,7 +37,7 @@ from quillspark.llm import words
 from quillspark.llm.common import drop, save, ship, slices, table
 
 LEVELS = 2  # rounds; a symbol then stands for 4 words at most
-_LEFT = 2**LEVELS - 1  # words before a place that decide whether a symbol starts there
+_LEFT = 5  # words before a place that decide, in two rounds with runs, whether a symbol starts there and its name
 _NEVER = np.iinfo(np.uint64).max
 
 
@@ -70,6 +70,8 @@ def anchors(fp: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray,
     weight[at] = words.mix(names) >> np.uint64(1)
     half = (window + 1) // 2
     lo, hi = _LEFT, window - half  # places in the window at which a symbol may start so that key and context lie inside
+    if hi < lo:
+        return starts, starts  # too short for a context: every window is its own anchor
     best, place = weight[starts + lo], starts + lo
     for d in range(lo + 1, hi + 1):
         w = weight[starts + d]

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from quillspark.llm import bpe, fingerprints, language, minhash, packing, perspectives, quality_knn, quality_rules, substrings, toxicity
@@ -251,6 +252,29 @@ def test_substrings_in_periodic_texts(spark):
     same(substrings.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "n_removed").collect(), want)
 
 
+def test_equal_windows_have_equal_anchors():
+    """Windows that start 'b a b c' after 'a' and after another word, for many words."""
+    rnd = np.random.default_rng(6)
+    wrong = 0
+    for _ in range(4000):
+        a, b, *rest = rnd.integers(1, 1 << 62, 40).astype(np.uint64)
+        window = np.array([b, a, b, *rest[: 35 - 3]], np.uint64)
+        fp = np.concatenate([[rest[-1], a], window, [rest[-2], rest[-3], rest[-4]], window]).astype(np.uint64)
+        starts, place = substrings.anchors(fp, np.array([0, len(fp)]), 35)
+        first, second = 2, 2 + 35 + 3
+        at = dict(zip(starts.tolist(), place.tolist(), strict=True))
+        wrong += at[first] - first != at[second] - second
+    assert wrong == 0
+
+
+def test_short_windows_keep_their_anchors_inside(spark):
+    rows = [(1, "q b a b c d e f"), (2, "a b a b c d e g"), (3, "u v w")]
+    for size in (3, 5, 6, 8, 9, 10):
+        seen = collections.Counter(tuple(w[i : i + size]) for r in rows for w in [words(r[1])] for i in range(len(w) - size + 1))
+        want = [(r[0], len({j for w in [words(r[1])] for i in range(len(w) - size + 1) if seen[tuple(w[i : i + size])] > 1 for j in range(i, i + size)})) for r in rows]
+        same(substrings.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), size).select("doc_id", "n_removed").collect(), want)
+
+
 def test_quality_classifier(spark, docs, empty):
     rnd = random.Random(7)
     good = [" ".join(rnd.choice(["alpha", "beta", "gamma", "delta", "of", "the"]) + rnd.choice(["", "s", "ed"]) for _ in range(80)) for _ in range(60)]
