@@ -39,7 +39,7 @@ WORDS_KEPT, PAIRS_KEPT = 600_000, 2_000_000
 
 #: Words as the vocabulary's pre-tokenizer has them; the second and third forms are for texts without other characters.
 _WORD = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+""")
-_WORD_ASCII = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\s0-9a-z\x1c-\x1f]+|[\x1c-\x1f]+""")
+_WORD_ASCII = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|(?:[^\s0-9a-z]|[\x1c-\x1f])+""")
 #: What str.split() takes for white space though Unicode does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _END = "\n"  # stands for the end of a word: no byte is shown by this character

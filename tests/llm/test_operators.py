@@ -64,6 +64,19 @@ def test_bpe_agrees_with_the_library(docs, empty):
     assert bpe.encode_decode(empty).count() == 0
 
 
+def test_bpe_separators_beside_punctuation():
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    lib = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    own = bpe.Bpe(bpe.vocabulary())
+    rnd = random.Random(3)
+    texts = ["a !\x1c! b", "-\x1d", *("".join(rnd.choice("!-'.sa1 \t\n\x0b\x1b\x1c\x1d\x1e\x1f") for _ in range(rnd.randrange(1, 12))) for _ in range(500))]
+    for t in texts:
+        for u in (t, t + " é"):
+            assert np.frombuffer(own.encode(u), "<u4").tolist() == lib.encode(u, add_special_tokens=False).ids, ascii(u)
+
+
 def test_bpe_words_agree_with_merges():
     own = bpe.Bpe(bpe.vocabulary())
     rnd = random.Random(1)
