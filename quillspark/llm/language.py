@@ -12,10 +12,12 @@ document; a segment's end ends a phrase, for each language alike).
 
 Learning takes a bounded sample: `SAMPLE_ROWS` rows for each language, chosen by a hash of
 doc_id, of at most `SAMPLE_LONGEST` characters each, until `SAMPLE_LETTERS` letters
-(`ALL_LETTERS` over all languages) are there.  All documents are scored whole.
+(`ALL_LETTERS` over all languages) are there.  A language whose texts are all longer is
+learned from so many characters of them, from their first letter on.  All documents are
+scored whole.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0; rows without a
-lang teach nothing; if no row can teach, every document is `und`; repeated rows are scored
+lang or letter teach nothing; if no row can teach, every document is `und`; repeated rows are scored
 each; an empty table gives an empty result; extra columns are not looked at.
 """
 
@@ -59,7 +61,10 @@ def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     starts = np.flatnonzero((data & 0xC0) != 0x80)
     at = np.searchsorted(starts, offsets)
     low = _TABLES["letters"][np.minimum(points, 0xFFFF)]
-    low[points > 0xFFFF] = 0xFFFF
+    high = np.flatnonzero(points > 0xFFFF)
+    if len(high):
+        each, at_each = np.unique(points[high], return_inverse=True)
+        low[high] = np.array([0xFFFF if chr(c).isalpha() else 0 for c in each.tolist()], np.uint16)[at_each]
     keep = low != 0
     keep[1:] |= low[:-1] != 0
     inner = at[1:-1]
@@ -156,10 +161,14 @@ class Languages:
 
 def learn(docs: DataFrame, learnable: str) -> dict[str, str]:
     """Sample text of each language from the rows that the condition names."""
-    rows = docs.where(f"({learnable}) and lang is not null and length(text) between 1 and {SAMPLE_LONGEST}")
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
+    rows = docs.where(f"({learnable}) and lang is not null and text rlike '\\\\p{{L}}'").withColumn("_short", F.expr(f"length(text) <= {SAMPLE_LONGEST}"))
+    found = {r[0]: (r[1], r[2]) for r in rows.groupBy("lang").agg(F.count_if("_short"), F.count("*")).collect()}
+    if not found:
         return {}
+    counts = {lang: short or n for lang, (short, n) in found.items()}
+    long_only = [lang for lang, (short, _) in found.items() if not short]
+    start = F.expr(f"substring(regexp_replace(text, '^\\\\P{{L}}+', ''), 1, {SAMPLE_LONGEST})")
+    rows = rows.where(F.col("_short") | F.col("lang").isin(long_only)).withColumn("text", F.when(F.col("_short"), F.col("text")).otherwise(start))
     chance = F.lit(0.0)
     for lang, n in counts.items():
         chance = F.when(F.col("lang") == lang, F.lit(min(1.0, SAMPLE_ROWS / n))).otherwise(chance)

@@ -338,6 +338,18 @@ def test_language(spark, docs, empty):
     assert language.identify(empty, sample).count() == 0
 
 
+def test_language_of_signs_beyond_the_basic_plane_and_of_long_texts(spark):
+    long = "😀 12 " * 5000 + "ção que dos ñe " * 2000
+    rows = [(i, "tho ing er and " * 10, "aa") for i in range(5)] + [(i, long, "bb") for i in range(5, 9)] + [(9, "12", "bb"), (10, "que dos ção", None), (11, "123 \U0001f600", None), (12, "\U00010330\U00010331 \U0001f600", None)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    sample = language.learn(table, "true")
+    assert set(sample) == {"aa", "bb"}
+    got = {r.doc_id: r for r in language.identify(table, sample).collect()}
+    assert got[10].lang_pred == "bb"
+    assert got[11].lang_pred == "und" and got[11].score == 0
+    assert got[12].lang_pred != "und" and got[12].score > 0
+
+
 def test_cross_parsing_counts_phrases():
     import numpy as np
 
