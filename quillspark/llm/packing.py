@@ -3,11 +3,14 @@
 The packing is planned on the histogram of piece lengths, which has at most `capacity`
 entries however many documents there are:
 
-1. Reduction.  A set of pieces that provably dominates every other set with its longest
-   piece is fixed for good and leaves the instance.  A pair that fills a sequence exactly
-   dominates all; so does the longest piece that fits beside one beside which no two others
-   could use more room; so does a piece alone beside which nothing fits.  Copies of such a
-   set are fixed together, so that each step removes a length.
+1. Reduction.  A set of pieces that provably dominates every other set with one of its
+   pieces is fixed for good and leaves the instance: some best packing has it.  A pair that
+   fills a sequence exactly dominates all; so does a piece alone beside which nothing fits;
+   so does a piece with the longest that fits beside it, where no two others use more room
+   and no three fit; and so does a piece with that longest and a third that fills the
+   sequence, where no three fit and at most one piece lies between the two.  Lengths are
+   tried from the longest down, past those of which nothing is proved.  Copies of a set are
+   fixed together, so that each step removes a length.
 2. Best fit, longest first, on what is left: each piece goes to the fullest open sequence
    that takes it; again, equal sequences are handled together.
 
@@ -90,48 +93,49 @@ def _reduce(left: np.ndarray, capacity: int, plan: _Plan) -> None:
         left[capacity // 2] -= 2 * times
     long = capacity
     while long > 0:
-        while long > 0 and not left[long]:
-            long -= 1
-        if long == 0:
-            return
-        room = capacity - long
-        fits = np.flatnonzero(left[: room + 1])
-        if long <= room and left[long] == 1:
-            fits = fits[fits != long]
-        if len(fits) == 0:
-            times = int(left[long]) if long > room else 1
-            plan.fix([long], times)
-            left[long] -= times
-            continue
-        beside = int(fits[-1])
-        if not _pair_beats(left, fits, beside, room, long):
-            times = int(min(left[long], left[beside])) if beside != long else max(1, int(left[long] // 2))
-            if 2 * long + beside <= capacity or beside == long:
-                times = 1  # copies of the longest could meet in one sequence: fix one at a time
-            plan.fix([long, beside], times)
-            left[long] -= times
-            left[beside] -= times
-            continue
-        return  # from here on, dominance needs larger sets
-
-
-def _pair_beats(left: np.ndarray, fits: np.ndarray, beside: int, room: int, long: int) -> bool:
-    """Whether two or more pieces could use more room beside the longest than the best single one does."""
-    if beside == room:
+        if not left[long] or not _fix_with(left, long, capacity, plan):
+            long -= 1  # nothing is proved of it: on to the next
+
+
+def _fix_with(left: np.ndarray, long: int, capacity: int, plan: _Plan) -> bool:
+    """Fix the dominating set with a piece of this length, as often as it occurs, if there is one of up to three pieces."""
+    room = capacity - long
+    fits = np.flatnonzero(left[: room + 1])
+    if left[long] == 1:
+        fits = fits[fits != long]
+    if len(fits) == 0:
+        times = int(left[long])
+        plan.fix([long], times)
+        left[long] -= times
+        return True
+    beside, least = int(fits[-1]), int(fits[0])
+    three = 3 * least <= room  # three more might fit
+    if beside == room or not three and _best_pair(left, fits, long, room) <= beside:
+        times = int(left[long] // 2 if beside == long else min(left[long], left[beside]))
+        if 2 * long + beside <= capacity:
+            times = min(times, 1)  # copies of this length could meet in one sequence
+        plan.fix([long, beside], times)
+        left[long] -= times
+        left[beside] -= times
+        return True
+    third = room - beside
+    if three or long <= room or third > beside or third == beside and left[beside] < 2 or not left[third] or left[third + 1 : beside].sum() > 1:
         return False
-    small = int(fits[0])
-    second = small if left[small] - (small == long) > 1 else int(fits[1]) if len(fits) > 1 else capacity_of(room)
-    if small + second > room:
-        return False
-    at = np.searchsorted(fits, room - fits, side="right") - 1
-    ok = at >= 0
-    best = (fits + fits[np.maximum(at, 0)])[ok]
-    return bool((best > beside).any()) or 3 * small <= room
+    times = int(min(left[long], left[beside] // 2 if third == beside else left[beside], left[third]))
+    plan.fix([long, beside, third], times)
+    for length in (long, beside, third):
+        left[length] -= times
+    return True
 
 
-def capacity_of(room: int) -> int:
-    """A length that never fits."""
-    return room + 1
+def _best_pair(left: np.ndarray, fits: np.ndarray, long: int, room: int) -> int:
+    """The most room that two of the pieces that fit can use; 0 if no two fit."""
+    at = np.searchsorted(fits, room - fits, side="right") - 1
+    # a length that one piece has goes with a shorter one, not with itself
+    own = (at >= 0) & (fits[np.maximum(at, 0)] == fits) & (left[fits] - (fits == long) < 2)
+    at = np.where(own, at - 1, at)
+    sums = np.where(at >= 0, fits + fits[np.maximum(at, 0)], 0)
+    return int(sums.max())
 
 
 def _best_fit(left: np.ndarray, capacity: int, plan: _Plan) -> None:
