@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -12,7 +15,9 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that vectorised code looks at together; a longer document is a slice of its own.
 SLICE_BYTES = 1 << 19
@@ -26,10 +31,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let executors import this package where the cluster was not started with it on the Python path."""
-    known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    """Let executors import this package, wherever they run; on one machine they have it already."""
     sc = spark.sparkContext
-    if str(_ROOT) in known or os.path.realpath(os.getcwd()) == str(_ROOT) or getattr(sc, "_quillspark_shipped", False):
+    if re.fullmatch(r"local(\[.*\])?", sc.master) or getattr(sc, "_quillspark_shipped", False):
         return
     archive = os.path.join(tempfile.mkdtemp(prefix="quillspark-"), "quillspark.zip")
     with zipfile.ZipFile(archive, "w") as z:
@@ -40,19 +44,28 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), one of our own, set on the context."""
+    """The folder of spark.checkpoint.dir, or the context's checkpoint folder; on one machine (tests) one of our own where neither is set, on a cluster an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-checkpoint-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+_LEFT: dict[str, DataFrame] = {}  # what is still to be deleted, by path
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
+    """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
+
+    drop() deletes it; what a result still reads is deleted when the program ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
     schema = df.schema
@@ -62,14 +75,52 @@ def save(df: DataFrame, name: str) -> DataFrame:
     spark._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of finished jobs
     out = spark.read.schema(schema).parquet(path)
     out._quillspark_path = path
+    if not _LEFT:
+        atexit.register(_drop_left)
+    _LEFT[path] = out
     return out
 
 
+def _drop_left() -> None:
+    for df in [*_LEFT.values()]:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            drop(df)
+
+
 def drop(df: DataFrame) -> None:
     """Delete what save() wrote, once nothing reads it any more."""
     jvm, spark = df.sparkSession._jvm, df.sparkSession
     path = jvm.org.apache.hadoop.fs.Path(df._quillspark_path)
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    _LEFT.pop(df._quillspark_path, None)
+
+
+def with_row(docs: DataFrame, *columns: Column) -> DataFrame:
+    """The columns, and `_row` with all of docs' columns, for operators that hand whole rows through."""
+    return docs.select(*columns, F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"))
+
+
+def with_text(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A batch with the column `text`: its own, or else that of `_row`, which then crosses to Python once."""
+    if "text" in batch.schema.names:
+        return batch
+    return batch.append_column("text", pc.struct_field(batch.column("_row"), "text"))
+
+
+#: A key with more than this share of all rows is hot; there are at most so many.
+MOST_HOT = 4096
+
+
+def having_key(rows: DataFrame, keys: DataFrame, on: list[str], total: int) -> DataFrame:
+    """The rows whose key is in `keys` (the keys, without nulls, and `n`, their rows among the `total`).
+
+    The keys with more than 1 / MOST_HOT of all rows, of which there are fewer than MOST_HOT,
+    are broadcast, so that their rows stay where they are; the others meet by the key.
+    """
+    hot = F.broadcast(keys.where(F.col("n") * MOST_HOT > total).select(*on, F.lit(True).alias("_hot")))
+    marked = rows.join(hot, on, "left")
+    rest = marked.where("_hot is null").join(keys.where(F.col("n") * MOST_HOT <= total).select(*on), on, "left_semi")
+    return marked.where("_hot").unionByName(rest).select(*rows.columns)
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -77,6 +128,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
 
     Null texts count as empty.
     """
+    batch = with_text(batch) if column == "text" else batch
     texts = batch.column(column)
     if texts.null_count:
         texts = texts.fill_null("")

@@ -6,9 +6,17 @@ covers no good text of the growing part; prunes it on the other part; sets aside
 covers; and goes on while a rule is still worth having.  The list is emitted as one ordered
 `when` chain over the statistics, so that applying it costs no Python.
 
-Edge cases: null text has no words, and so fails the base rule; without labelled rows of
-both kinds the list is empty and the base rule decides alone; repeated rows are judged
-each; an empty table gives an empty result; extra columns are not looked at.
+The learner reads about `SAMPLE_ROWS` labelled rows, chosen by a hash of doc_id, and the list
+has at most `MOST_RULES` rules of `MOST_CONDITIONS` conditions: bounds of the method, which
+keep a list readable.  Every document is judged whole.
+
+Edge cases: null text has no words, and so fails the base rule; very long texts are counted
+whole, in time linear in their length; of conditions of equal gain the first feature in order
+and its least threshold win; without labelled rows of both kinds the list is empty and the
+base rule decides alone; rows that share a doc_id are judged each by their own text, and all
+of them teach; a null doc_id is judged but teaches nothing; repeated rows are judged each; an
+empty table gives an empty result; extra columns are not looked at, and with `keep_row` come
+out as fields of `_row`.
 """
 
 from __future__ import annotations
@@ -20,16 +28,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.llm import words
-from quillspark.llm.common import ship, slices, table
+from quillspark.llm.common import ship, slices, table, with_row
 
 SAMPLE_ROWS = 12_000
-MOST_RULES = 12
+#: A list is short enough to read: so many rules, of so many conditions each, at most.  Rules come in the order of their gain, so what is left out covers least.
+MOST_RULES, MOST_CONDITIONS = 12, 5
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bangs", "n_distinct"]
-STATISTICS = "doc_id bigint, " + ", ".join(f"{c} bigint" for c in _COUNTS)
 
 #: What conditions are about, as SQL over the counts; every one is defined for a text without words.
 FEATURES = {
@@ -46,7 +55,7 @@ BASE_FAILED = "(n_words < 20 or 100 * n_repeat_words > 30 * n_words)"
 
 
 def counts(data: np.ndarray, offsets: np.ndarray, repeat: int = 8) -> list[np.ndarray]:
-    """The counts of each row, in the order of STATISTICS."""
+    """The counts of each row, in the order of _COUNTS."""
     starts, ends, first = words.spans(data, offsets)
     fp = words.fingerprints(data, starts, ends)
     n_words = np.diff(first)
@@ -85,16 +94,19 @@ def counts(data: np.ndarray, offsets: np.ndarray, repeat: int = 8) -> list[np.nd
     return [n_words, word_chars, per_row(_SYMBOL[data]), n_dup, n_repeat, n_lines, per_row(upper), per_row(data == ord("!")), n_distinct]
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """STATISTICS of every document's whole text."""
+def statistics(docs: DataFrame, keep_row: bool = False) -> DataFrame:
+    """doc_id and the counts of every document's whole text; with `keep_row` also `_row`, its columns as they came."""
     ship(docs.sparkSession)
+    own = [F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    rows = with_row(docs, own[0]) if keep_row else docs.select(*own)
+    kept = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c.astype(np.int64)) for c in counts(data, offsets))], ["doc_id", *_COUNTS])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(pa.array(c.astype(np.int64)) for c in counts(data, offsets))], [*kept, *_COUNTS])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, STATISTICS)
+    return rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in kept), *(T.StructField(c, T.LongType()) for c in _COUNTS)]))
 
 
 @dataclass(frozen=True)
@@ -127,7 +139,7 @@ def _covers(rule: Rule, x: dict[str, np.ndarray], n: int) -> np.ndarray:
 def _grow(x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
     rule: list[Condition] = []
     live = np.ones(len(bad), bool)
-    while (~bad & live).any() and len(rule) < 5:
+    while (~bad & live).any() and len(rule) < MOST_CONDITIONS:
         p, n = int((bad & live).sum()), int((~bad & live).sum())
         best, gain = None, 1e-9
         for f, values in x.items():
@@ -204,9 +216,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[Rul
     return learn_rules({f: got[f].to_numpy(float) for f in FEATURES}, got["quality"].to_numpy() == 0)
 
 
-def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+def judge(docs: DataFrame, rules: list[Rule], keep_row: bool = False) -> DataFrame:
     """The statistics with base_failed and kept."""
-    out = statistics(docs).withColumn("base_failed", F.expr(BASE_FAILED))
+    out = statistics(docs, keep_row).withColumn("base_failed", F.expr(BASE_FAILED))
     return out.withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
