@@ -1,27 +1,33 @@
 """Substring dedup (operator 6) by recompression.
 
-Recompression.  A text is a string of word fingerprints.  In each round, symbols that stand
-in a run of equal ones get the run's name, and then pairs of neighbours, the first from the
-left and the second from the right half of the alphabet (halves by a hash of name and
-round), become one symbol.  A name is a fingerprint of what it stands for, so all executors
-give equal substrings equal names without a shuffle, and whether a symbol starts at a place
-depends on few words around it: equal passages have equal interior symbols.
-
-Reveal.  Of the symbols that start in the interior of a window of 35 words, the one of least
-name is the window's anchor; equal windows have it at the same place.  An anchor's key is
-the hash of the 18 words that start with it, which lie in the window.  Keys that more than
-one text has (Spark counts them) reveal where long repeats may be: about one key in eight
-words instead of one in each word.
-
-Verify.  Only the windows whose anchor's key is shared are hashed in full (96 bits) and
-counted; each text gives each different window once, and equal texts are one text with a
+Recompression.  A text is a string of word fingerprints.  In each round, maximal runs of
+equal neighbours become one symbol (symbol, length), and then pairs of neighbours, the first
+from the left and the second from the right half of the alphabet (halves by a hash of name
+and round), become one symbol.  A name is a fingerprint of what it stands for, so that all
+executors give equal substrings one name: the global naming needs no shuffle.  Rounds go on
+until symbols outgrow the window.
+
+Each symbol keeps its context: the words that decide that just this symbol is at this place.
+A pair adds nothing to the contexts of its parts; a symbol left single in a round adds the
+one neighbour that could have joined it; a run adds as many words on either side as tell that
+it ends there.  Wherever the words of a context recur, so does the symbol.
+
+Reveal.  The longest symbol whose context lies in a window of 35 words (of equally long ones
+the one of greatest hash) is the window's name, so that equal windows have the same one.
+Names that more than one text has, which Spark counts, reveal where long repeats may be.
+A window without such a symbol (one in a long run, say) is its own name.
+
+Verify.  Only the windows whose name is shared are expanded and compared, by 96-bit hashes of
+their words; each text gives each different window once, and equal texts are one text with a
 number of copies.  Repeats within a text are found in the text itself.
 
 A word is removed if a window that covers it starts anywhere else too.
 
-Edge cases: null text has no words; texts with fewer words than a window stay whole; rows
-that share a doc_id are separate documents, told apart by their texts; equal rows are
-copies of each other; empty tables give empty results; extra columns are not looked at.
+Edge cases: null text has no words; texts with fewer words than a window stay whole; very
+long texts are read whole, in time linear in their length; rows that share a doc_id, and rows
+without one, are separate documents, told apart by their texts; equal rows are copies of each
+other, so all their words go; empty tables give empty results; extra columns are not looked
+at, and with `keep_row` come out as fields of `_row`.
 """
 
 from __future__ import annotations
@@ -32,67 +38,127 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.llm import words
-from quillspark.llm.common import drop, save, ship, slices, table
-
-LEVELS = 2  # rounds; a symbol then stands for 4 words at most
-_LEFT = 5  # words before a place that decide, in two rounds with runs, whether a symbol starts there and its name
-_NEVER = np.iinfo(np.uint64).max
+from quillspark.llm.common import drop, having_key, save, ship, slices, table, with_row
+
+ROUNDS = 16  # at most; symbols outgrow the window before
+_FAR = np.int64(1 << 60)
+
+
+class _Symbols:
+    """Symbols of a slice of texts: names, first word and word after the last, and the same of their contexts."""
+
+    def __init__(self, name: np.ndarray, a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray):
+        self.name, self.a, self.b, self.ca, self.cb = name, a, b, ca, cb
+
+
+def _runs(s: _Symbols, fp: np.ndarray, row: np.ndarray) -> tuple[_Symbols, np.ndarray]:
+    """Maximal runs as one symbol each; which symbols are runs."""
+    n = len(s.name)
+    own = row[s.a]
+    edge = np.append(True, (s.name[1:] != s.name[:-1]) | (own[1:] != own[:-1]))
+    first = np.flatnonzero(edge)
+    last = np.append(first[1:], n) - 1
+    times = last - first + 1
+    name = s.name[first]
+    run = times > 1
+    name = np.where(run, words.mix(name * words.keys(1, 40) + times.astype(np.uint64)), name)
+    ca, cb = np.minimum.reduceat(s.ca, first), np.maximum.reduceat(s.cb, first)
+    a, b = s.a[first], s.b[last]
+    # where a run ends is told by the next word, if it differs from the run's own first or last one, else by the whole neighbour
+    left = np.maximum(first - 1, 0)
+    some = (first > 0) & (own[left] == own[first])
+    told = np.where(fp[np.maximum(a - 1, 0)] != fp[b - 1], a - 1, s.ca[left])
+    ca = np.where(some, np.minimum(ca, told), -_FAR)
+    right = np.minimum(last + 1, n - 1)
+    some = (last + 1 < n) & (own[right] == own[last])
+    told = np.where(fp[np.minimum(b, len(fp) - 1)] != fp[a], b + 1, s.cb[right])
+    cb = np.where(some, np.maximum(cb, told), _FAR)
+    return _Symbols(name, a, b, ca, cb), run
+
+
+def _pairs(s: _Symbols, row: np.ndarray, level: int) -> tuple[_Symbols, np.ndarray]:
+    """Pairs of the left and the right half as one symbol each; which symbols are pairs."""
+    own = row[s.a]
+    side = words.mix(s.name + words.keys(1, 60 + level)) & np.uint64(1)
+    near = own[1:] == own[:-1]
+    first = np.append((side[:-1] == 0) & (side[1:] == 1) & near, False)
+    second = np.append(False, first[:-1])
+    after = np.append(s.name[1:], np.uint64(0))
+    name = np.where(first, words.mix(s.name * words.keys(1, 80) + words.mix(after)), s.name)
+    # a single of the left half could have had its right neighbour, one of the right half its left neighbour
+    has_right, has_left = np.append(near, False), np.append(False, near)
+    next_cb, last_ca = np.append(s.cb[1:], _FAR), np.append(-_FAR, s.ca[:-1])
+    cb = np.where(side == 0, np.where(has_right, np.maximum(s.cb, next_cb), _FAR), s.cb)
+    ca = np.where((side == 1), np.where(has_left, np.minimum(s.ca, last_ca), -_FAR), s.ca)
+    ca = np.where(first, np.minimum(s.ca, np.append(s.ca[1:], _FAR)), ca)
+    cb = np.where(first, np.maximum(s.cb, np.append(s.cb[1:], -_FAR)), cb)
+    b = np.where(first, np.append(s.b[1:], 0), s.b)
+    keep = ~second
+    return _Symbols(name[keep], s.a[keep], b[keep], ca[keep], cb[keep]), first[keep]
+
+
+def recompress(fp: np.ndarray, row: np.ndarray, longest: int) -> list[_Symbols]:
+    """All symbols whose context has at most `longest` words, as they arise in the rounds; symbols don't cross rows."""
+    at = np.arange(len(fp), dtype=np.int64)
+    s = _Symbols(fp, at, at + 1, at, at + 1)
+    out = []
+    for level in range(ROUNDS):
+        if len(s.name) < 2:
+            break
+        live = False
+        for step in ((lambda s: _runs(s, fp, row)), (lambda s, k=level: _pairs(s, row, k))):
+            s, new = step(s)
+            short = s.cb - s.ca <= longest
+            live |= bool(short.any())
+            new &= short
+            if new.any():
+                out.append(_Symbols(s.name[new], s.a[new], s.b[new], s.ca[new], s.cb[new]))
+        if not live:
+            break
+    return out
 
 
-def recompress(fp: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Names and first words of the symbols after the rounds; symbols don't cross rows."""
-    names, at = fp, np.arange(len(fp))
-    for level in range(LEVELS):
-        if len(names) < 2:
-            break
-        same = (names[1:] == names[:-1]) & (row[at[1:]] == row[at[:-1]])
-        run = np.append(same, False) | np.append(False, same)
-        names = np.where(run, words.mix(names ^ words.keys(1, 40 + level)), names)
-        side = words.mix(names + words.keys(1, 60 + level)) & np.uint64(1)
-        first = (side[:-1] == 0) & (side[1:] == 1) & (row[at[1:]] == row[at[:-1]])
-        joined = words.mix(names[:-1] * words.keys(1, 80 + level) + words.mix(names[1:]))
-        names = np.append(np.where(first, joined, names[:-1]), names[-1])
-        keep = np.append(True, ~first)
-        names, at = names[keep], at[keep]
-    return names, at
-
-
-def anchors(fp: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """The starts of all windows and the place of each one's anchor."""
+def window_names(fp: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The starts of all windows, and for each the name of its longest symbol (0: it has none)."""
     starts = words.inside(first, window)
     if len(starts) == 0:
-        return starts, starts
+        return starts, np.zeros(0, np.uint64)
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    names, at = recompress(fp, row)
-    weight = np.full(len(fp), _NEVER, np.uint64)
-    weight[at] = words.mix(names) >> np.uint64(1)
-    half = (window + 1) // 2
-    lo, hi = _LEFT, window - half  # places in the window at which a symbol may start so that key and context lie inside
-    if hi < lo:
-        return starts, starts  # too short for a context: every window is its own anchor
-    best, place = weight[starts + lo], starts + lo
-    for d in range(lo + 1, hi + 1):
-        w = weight[starts + d]
-        less = w < best
-        best = np.where(less, w, best)
-        place = np.where(less, starts + d, place)
-    return starts, place
+    n, bits = len(fp), window.bit_length()
+    depth = bits  # best[k, i]: of the symbols for the windows that start at i to i + 2**k - 1
+    best = np.zeros((depth, n), np.uint64)
+    for s in recompress(fp, row, window):
+        own = row[s.a]
+        lo, hi = np.maximum(s.cb - window, first[own]), np.minimum(s.ca, first[own + 1] - window)
+        ok = lo <= hi
+        lo, hi, name, span = lo[ok], hi[ok], s.name[ok], (s.b - s.a)[ok]
+        weight = span.astype(np.uint64) << np.uint64(64 - bits) | words.mix(name) >> np.uint64(bits)
+        k = np.frexp((hi - lo + 1).astype(np.float64))[1].astype(np.int64) - 1
+        np.maximum.at(best, (k, lo), weight)
+        np.maximum.at(best, (k, hi - (1 << k) + 1), weight)
+    for k in range(depth - 1, 0, -1):
+        half = 1 << k - 1
+        np.maximum(best[k - 1], best[k], out=best[k - 1])
+        np.maximum(best[k - 1, half:], best[k, :-half], out=best[k - 1, half:])
+    return starts, best[0][starts]
 
 
 class _Windows:
-    """The windows of a slice of texts: starts, anchors' keys, hashes; by row."""
+    """The windows of a slice of texts: starts, names, hashes; by row."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int, names: bool = True):
         self.word_starts, self.word_ends, self.first = words.spans(data, offsets)
         fp = words.fingerprints(data, self.word_starts, self.word_ends)
         self.n_words = np.diff(self.first)
         self.fp = fp
-        self.starts, place = anchors(fp, self.first, window)
-        half = words.windows(fp, (window + 1) // 2)
-        self.keys = half[place] if len(place) else np.zeros(0, np.uint64)
+        self.starts = words.inside(self.first, window)
         self.h1 = words.windows(fp, window)[self.starts] if len(self.starts) else np.zeros(0, np.uint64)
+        if names:
+            named = window_names(fp, self.first, window)[1]
+            self.keys = np.where(named > 0, named, self.h1)
         counts = np.maximum(self.n_words - window + 1, 0)
         self.upto = np.concatenate([[0], np.cumsum(counts)])
 
@@ -117,24 +183,25 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat.view(np.int64) if flat.dtype == np.uint64 else flat, kind))
 
 
-def _outline(docs: DataFrame, window: int) -> DataFrame:
-    """doc_id, n_words, k1 and k2 (hash of the word sequence), keys (distinct, of the anchors) and own (a window recurs within)."""
+def _outline(texts: DataFrame, window: int) -> DataFrame:
+    """rid, t, k1 and k2 (hash of the word sequence), keys (distinct names of windows) and own (a window recurs within) of the texts that have a window.  texts: rid, t, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in slices(batch, "text"):
                 w = _Windows(data, offsets, window)
+                rows = np.flatnonzero(np.diff(w.upto) > 0)
                 k1, k2 = w.text_keys()
-                spans = list(zip(w.upto[:-1].tolist(), w.upto[1:].tolist(), strict=True))
+                spans = [(int(w.upto[i]), int(w.upto[i + 1])) for i in rows]
                 keys = [np.unique(w.keys[a:b]) for a, b in spans]
                 own = [b - a > 1 and len(np.unique(w.h1[a:b])) < b - a for a, b in spans]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(w.n_words, pa.int64()), pa.array(k1), pa.array(k2), _lists(keys, pa.int64()), pa.array(own, pa.bool_())], ["doc_id", "n_words", "k1", "k2", "keys", "own"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(rows)) for c in ("rid", "t")), pa.array(k1[rows]), pa.array(k2[rows]), _lists(keys, pa.int64()), pa.array(own, pa.bool_())], ["rid", "t", "k1", "k2", "keys", "own"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_words bigint, k1 bigint, k2 bigint, keys array<bigint>, own boolean")
+    return texts.mapInArrow(run, "rid bigint, t bigint, k1 bigint, k2 bigint, keys array<bigint>, own boolean")
 
 
-def _candidates(docs: DataFrame, window: int) -> DataFrame:
-    """k1, k2, and the distinct windows with a shared key: starts, h1, h2.  docs: doc_id, k1, k2, text, shared (keys)."""
+def _candidates(texts: DataFrame, window: int) -> DataFrame:
+    """k1, k2, and the distinct windows with a shared name: starts, h1, h2.  texts: k1, k2, text, shared (names)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,27 +221,29 @@ def _candidates(docs: DataFrame, window: int) -> DataFrame:
                 firsts = [(w.starts[x] - w.first[i]).astype(np.int32) for i, x in zip(right.tolist(), at, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("k1").take(rows), part.column("k2").take(rows), _lists(firsts, pa.int32()), _lists([w.h1[x] for x in at], pa.int64()), _lists([h2[x] for x in at], pa.int32())], ["k1", "k2", "starts", "h1", "h2"])
 
-    return docs.mapInArrow(run, "k1 bigint, k2 bigint, starts array<int>, h1 array<bigint>, h2 array<int>")
+    return texts.mapInArrow(run, "k1 bigint, k2 bigint, starts array<int>, h1 array<bigint>, h2 array<int>")
+
+
+_SPANS = "array<struct<first:int,last:int>>"
 
 
-def _removal(docs: DataFrame, window: int) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text, removed (spans of words).  docs: doc_id, text, verdicts (array of k1, k2, whole, starts)."""
-    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_text string, removed array<struct<first:int,last:int>>"
+def _removal(texts: DataFrame, window: int) -> DataFrame:
+    """_row, n_words, n_removed, kept_text, removed (spans of words).  texts: _row, k1, k2, whole, starts (the verdict on the text, or null)."""
+    schema = T.StructType([texts.schema["_row"], *T.StructType.fromDDL(f"n_words bigint, n_removed bigint, kept_text string, removed {_SPANS}").fields])
     span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in slices(batch, "text"):
-                verdicts = part.column("verdicts").to_pylist()
+                v1, v2, whole, starts = (part.column(c).to_pylist() for c in ("k1", "k2", "whole", "starts"))
                 texts = part.column("text").to_pylist()
                 n_words, n_removed, kept, spans = [], [], [], []
-                w = _Windows(data, offsets, window) if any(verdicts) else None
+                w = _Windows(data, offsets, window, names=False) if any(x is not None for x in v1) else None
                 k1, k2 = w.text_keys() if w else ((), ())
                 for i, text in enumerate(texts):
                     own = (text or "").encode().split()
-                    gone = None
-                    if verdicts[i] and (mine := [v for v in verdicts[i] if v["k1"] == k1[i] and v["k2"] == k2[i]]):
-                        gone = _gone(w, i, window, any(v["whole"] for v in mine), [s for v in mine for s in v["starts"] or ()])
+                    gone = _gone(w, i, window, whole[i], starts[i] or []) if v1[i] is not None and v1[i] == k1[i] and v2[i] == k2[i] else None
+                    n_words.append(len(own))
                     if gone is None or not gone.any():
                         n_removed.append(0)
                         spans.append([])
@@ -183,11 +252,10 @@ def _removal(docs: DataFrame, window: int) -> DataFrame:
                         n_removed.append(int(gone.sum()))
                         edge = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]])))
                         spans.append([{"first": int(a), "last": int(b) - 1} for a, b in zip(edge[::2], edge[1::2], strict=True)])
-                    n_words.append(len(own) + n_removed[-1])
                     kept.append(b" ".join(own))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, span)], ["doc_id", "n_words", "n_removed", "kept_text", "removed"])
+                yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, span)], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return texts.mapInArrow(run, schema)
 
 
 def _gone(w: _Windows, i: int, window: int, whole: bool, starts: list[int]) -> np.ndarray:
@@ -205,35 +273,43 @@ def _gone(w: _Windows, i: int, window: int, whole: bool, starts: list[int]) -> n
     return words.cover(n, np.flatnonzero(repeated | shared[inverse]), window)
 
 
-def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text and removed (spans of words) of every document."""
+def remove_repeats(docs: DataFrame, window: int = 35, keep_row: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text and removed (spans of words) of every document; with `keep_row` also `_row`, its columns as they came."""
     ship(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"))
-    outline = save(_outline(texts, window).where(f"n_words >= {window}"), "outline")
-    classes = save(outline.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("keys").alias("keys"), F.any_value("own").alias("own")), "classes")
-    keyed = classes.select("k1", "k2", "rep", F.explode("keys").alias("key"))
-    shared = save(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
-    hits = keyed.join(shared, "key", "left_semi").groupBy("k1", "k2", "rep").agg(F.collect_list("key").alias("shared"))
-    hits = save(hits.withColumnRenamed("rep", "doc_id"), "hits")
-    candidates = save(_candidates(texts.join(hits, "doc_id").select("doc_id", "k1", "k2", "text", "shared"), window), "candidates")
+    # a row's own id for joins: its doc_id, or a hash of its text; with a hash of the text it names texts that share an id
+    own = [F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text", F.lit(1))).alias("rid"), F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text")]
+    texts = docs.select(*own)
+    outline = save(_outline(texts, window), "outline")
+    best = F.min(F.struct("rid", "t"))
+    classes = save(outline.groupBy("k1", "k2").agg(best.alias("rep"), F.count("*").alias("copies"), F.any_value("keys").alias("keys"), F.any_value("own").alias("own")).select("k1", "k2", "rep.*", "copies", "keys", "own"), "classes")
+    keyed = classes.select("k1", "k2", "rid", "t", F.explode("keys").alias("key"))
+    shared = save(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    hits = having_key(keyed, shared, ["key"], total).groupBy("k1", "k2", "rid", "t").agg(F.collect_list("key").alias("shared"))
+    hits = save(hits, "hits")
+    candidates = save(_candidates(texts.join(hits, ["rid", "t"]).select("k1", "k2", "text", "shared"), window), "candidates")
     drop(shared)
     drop(hits)
     each = candidates.select("k1", "k2", F.explode(F.arrays_zip("h1", "h2", "starts")).alias("w")).select("k1", "k2", F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2"), F.col("w.starts").alias("start"))
     # rows that share doc_id and text have given the same windows more than once: a class counts once
-    per_class = each.select("k1", "k2", "h1", "h2")
-    twice = save(per_class.groupBy("h1", "h2").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"), F.min("k2").alias("lo2"), F.max("k2").alias("hi2")).where("lo <> hi or lo2 <> hi2").select("h1", "h2"), "twice")
-    repeats = each.join(twice, ["h1", "h2"], "left_semi").groupBy("k1", "k2").agg(F.collect_set("start").alias("starts"))
+    twice = each.groupBy("h1", "h2").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"), F.min("k2").alias("lo2"), F.max("k2").alias("hi2"), F.count("*").alias("n")).where("lo <> hi or lo2 <> hi2").select("h1", "h2", "n")
+    twice = save(twice, "twice")
+    total = twice.agg(F.sum("n")).first()[0] or 0
+    repeats = having_key(each, twice, ["h1", "h2"], total).groupBy("k1", "k2").agg(F.collect_set("start").alias("starts"))
     repeats = save(repeats, "repeats")
     drop(candidates)
     drop(twice)
     marks = classes.join(repeats, ["k1", "k2"], "left").where("copies > 1 or own or starts is not null")
     marks = marks.select("k1", "k2", (F.col("copies") > 1).alias("whole"), F.when(F.col("copies") == 1, F.col("starts")).alias("starts"))
-    verdicts = outline.select("doc_id", "k1", "k2").distinct().join(marks, ["k1", "k2"]).groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2", "whole", "starts")).alias("verdicts"))
-    verdicts = save(verdicts, "verdicts")
-    return _removal(texts.join(verdicts, "doc_id", "left").select("doc_id", "text", "verdicts"), window)
+    verdicts = save(outline.select("rid", "t", "k1", "k2").join(marks, ["k1", "k2"]).dropDuplicates(["rid", "t"]), "verdicts")
+    for done in (outline, classes, repeats):
+        drop(done)
+    out = _removal(with_row(docs, *own[:2]).join(verdicts, ["rid", "t"], "left").select("_row", "k1", "k2", "whole", "starts"), window)
+    shown = ["n_words", "n_removed", "kept_text", "removed", *(["_row"] if keep_row else [])]
+    return out.select(F.col("_row.doc_id").cast("bigint").alias("doc_id"), *shown)
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left once all windows of 35 words that recur are removed."""
-    done = remove_repeats(table(spark, sf_dir, "documents"))
+    done = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
