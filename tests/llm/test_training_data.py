@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
+from quillspark.llm import words as word_hashes
 from quillspark.llm import bpe, fingerprints, language, minhash, packing, perspectives, quality_knn, quality_rules, substrings, toxicity
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, ids string, k1 string, score string, block string"
@@ -77,12 +78,44 @@ def test_bpe_separators_beside_punctuation():
             assert np.frombuffer(own.encode(u), "<u4").tolist() == lib.encode(u, add_special_tokens=False).ids, ascii(u)
 
 
+def test_bpe_agrees_at_every_contested_character():
+    """Characters that Unicode versions class otherwise, the additions of Unicode 16, and every 37th of all others."""
+    tokenizers = pytest.importorskip("tokenizers")
+    import unicodedata
+
+    import public_tokenizers
+    import regex
+
+    lib = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    own = bpe.Bpe(bpe.vocabulary())
+    every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    odd = [c for c in every if unicodedata.category(chr(c)) == "Cn" and regex.match(r"[\p{L}\p{N}]", chr(c))]
+    chosen = sorted({*odd[::3], *every[::37], *every[:0x3000], *bpe._LATER, *(c for r in bpe._SIXTEEN for c in r)})
+    texts = [t for c in chosen for t in (f"a{chr(c)}b1 {chr(c)}x", f"!{chr(c)}{chr(c)}! é")]
+    for lo in range(0, len(texts), 4000):
+        for t, want in zip(texts[lo : lo + 4000], lib.encode_batch(texts[lo : lo + 4000], add_special_tokens=False), strict=True):
+            assert np.frombuffer(own.encode(t), "<u4").tolist() == want.ids, ascii(t)
+
+
+def test_bpe_compatible_pairs():
+    own = bpe.Bpe(bpe.vocabulary())
+    rnd = random.Random(2)
+    tokens = [i for i, t in own.text.items() if own.alone[i]]
+    inner = [i for i in tokens if not own.text[i].endswith("\n")]
+    for k in range(8000):
+        a, b = (rnd.choice(inner[:600]), rnd.choice(tokens[:1200])) if k % 3 else (rnd.choice(inner), rnd.choice(tokens))
+        assert (own.merged(own.text[a] + own.text[b]) == [a, b]) == own._compatible(a, b, 1 << 30)
+    for i in rnd.sample(tokens, 2000):
+        assert own.merged(own.text[i]) == [i]
+
+
 def test_bpe_words_agree_with_merges():
     own = bpe.Bpe(bpe.vocabulary())
     rnd = random.Random(1)
-    for _ in range(2000):
-        w = "".join(rnd.choice("abcdeinorst") for _ in range(rnd.randrange(1, 25)))
-        assert own.word(w) == own.merged(w + "\n")
+    for letters in ("abcdeinorst", "ab", "a", "!.-'"):
+        for _ in range(1000):
+            w = "".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 30)))
+            assert own.word(w) == own.merged(w + "\n")
 
 
 def test_quality_counts(docs, empty):
@@ -135,6 +168,40 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def fewest(items, capacity):
+    """The least number of sequences, by trying all placements."""
+    best = [len(items)]
+
+    def go(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(bins)
+            return
+        for room in {b for b in bins if b >= items[i]}:
+            j = bins.index(room)
+            go(i + 1, [*bins[:j], room - items[i], *bins[j + 1 :]])
+        go(i + 1, [*bins, capacity - items[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_packing_reduction_never_loses_the_optimum():
+    rnd = random.Random(3)
+    fixed = total = 0
+    for _ in range(600):
+        capacity = rnd.choice([7, 10, 13, 20, 30])
+        items = sorted((rnd.randrange(1, capacity + 1) for _ in range(rnd.randrange(1, 9))), reverse=True)
+        left = np.bincount(items, minlength=capacity + 1).astype(np.int64)
+        plan = packing._Plan()
+        packing._reduce(left, capacity, plan)
+        rest = [n for n in range(capacity, 0, -1) for _ in range(left[n])]
+        assert plan.sequences + (fewest(rest, capacity) if rest else 0) == fewest(items, capacity), (capacity, items)
+        fixed, total = fixed + len(items) - len(rest), total + len(items)
+    assert fixed > 0.75 * total
+
+
 def test_packing_plan_covers_every_piece_once():
     rnd = random.Random(2)
     for _ in range(300):
@@ -265,19 +332,38 @@ def test_substrings_in_periodic_texts(spark):
     same(substrings.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "n_removed").collect(), want)
 
 
-def test_equal_windows_have_equal_anchors():
-    """Windows that start 'b a b c' after 'a' and after another word, for many words."""
-    rnd = np.random.default_rng(6)
-    wrong = 0
-    for _ in range(4000):
-        a, b, *rest = rnd.integers(1, 1 << 62, 40).astype(np.uint64)
-        window = np.array([b, a, b, *rest[: 35 - 3]], np.uint64)
-        fp = np.concatenate([[rest[-1], a], window, [rest[-2], rest[-3], rest[-4]], window]).astype(np.uint64)
-        starts, place = substrings.anchors(fp, np.array([0, len(fp)]), 35)
-        first, second = 2, 2 + 35 + 3
-        at = dict(zip(starts.tolist(), place.tolist(), strict=True))
-        wrong += at[first] - first != at[second] - second
-    assert wrong == 0
+def test_equal_windows_have_equal_names():
+    """Whatever stands around them, and however often their words recur."""
+    rnd = random.Random(6)
+    named = 0
+    for _ in range(600):
+        kinds, size = rnd.choice([1, 2, 3, 4, 6, 20, 1000]), rnd.choice([3, 5, 8, 12, 35])
+        shared = [rnd.randrange(kinds) for _ in range(size)]
+        texts = [[rnd.randrange(kinds) for _ in range(rnd.randrange(8))] + shared + [rnd.randrange(kinds) for _ in range(rnd.randrange(8))] for _ in range(4)]
+        fp = word_hashes.mix(np.array([x + 1 for t in texts for x in t], np.uint64))
+        starts, names = substrings.window_names(fp, np.concatenate([[0], np.cumsum([len(t) for t in texts])]), size)
+        known = {}
+        for at, name in zip(starts.tolist(), names.tolist(), strict=True):
+            assert known.setdefault(tuple(fp[at : at + size].tolist()), name) == name
+            named += kinds == 1000 and size == 35 and name > 0
+    assert named > 0
+
+
+def test_symbols_stand_for_their_words():
+    """Symbols of one name expand to the same words, runs become one symbol, and long windows have long symbols."""
+    rnd = random.Random(7)
+    text = [rnd.choice("abcdefgh") for _ in range(3000)] + ["x"] * 12 + [rnd.choice("abcdefgh") for _ in range(40)]
+    fp = word_hashes.mix(np.array([ord(c) for c in text], np.uint64))
+    expansion, spans = {}, []
+    for s in substrings.recompress(fp, np.zeros(len(fp), np.int64), 35):
+        for name, a, b, ca, cb in zip(s.name.tolist(), s.a.tolist(), s.b.tolist(), s.ca.tolist(), s.cb.tolist(), strict=True):
+            assert ca <= a < b <= cb and cb - ca <= 35
+            assert expansion.setdefault(name, text[a:b]) == text[a:b]
+            spans.append(b - a)
+    assert ["x"] * 12 in expansion.values()
+    assert max(spans) > 16
+    _, names = substrings.window_names(fp, np.array([0, len(fp)]), 35)
+    assert np.median(names >> np.uint64(64 - 6)) >= 8
 
 
 def test_short_windows_keep_their_anchors_inside(spark):
@@ -288,6 +374,13 @@ def test_short_windows_keep_their_anchors_inside(spark):
         same(substrings.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), size).select("doc_id", "n_removed").collect(), want)
 
 
+def test_substrings_of_rows_without_an_id_or_with_one_id(spark):
+    long = " ".join(f"w{i}" for i in range(50))
+    rows = [(None, f"a b {long} c", "x"), (None, f"d {long} e", "y"), (1, f"first {long}", "z"), (1, "second alone", None), (2, None, "n")]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string, kept_text string"), keep_row=True).collect()
+    same([(r._row.text, r._row.kept_text, r.kept_text) for r in got], [(rows[0][1], "x", "a b c"), (rows[1][1], "y", "d e"), (rows[2][1], "z", "first"), (rows[3][1], None, "second alone"), (None, "n", "")])
+
+
 def test_quality_classifier(spark, docs, empty):
     rnd = random.Random(7)
     good = [" ".join(rnd.choice(["alpha", "beta", "gamma", "delta", "of", "the"]) + rnd.choice(["", "s", "ed"]) for _ in range(80)) for _ in range(60)]
