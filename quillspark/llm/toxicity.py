@@ -1,27 +1,35 @@
 """Toxicity (operator 8) by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, and one on the passages of
-toxic text that set it apart (words whose first letters, or whole, stand in many toxic
-documents and hardly in ordinary ones, as often as they occur).  A window of a text is
-compressed against the ordinary dictionary alone and against both; the bytes that the toxic
-one saves are the window's distance.  A document's distance is its largest window's, and a
-monotone calibration on labelled rows that trained no dictionary turns it into a score.
-
-A window is one word with the spaces around it, lower case, letters only.  So that a match
-weighs more than the fixed costs of a short frame, every byte is spelled as three fixed
-pseudo-random bytes before training and compression alike.  Words recur, so workers keep a
-bounded table of windows already measured; that changes no result.
-
-Learning takes bounded samples (`TOXIC_ROWS`, `ORDINARY_ROWS` labelled rows of at most
-`SAMPLE_LONGEST` characters, chosen by a hash of doc_id).  Every document is scored whole.
+Two zstandard dictionaries are trained apart: one on ordinary text, one on the passages of
+toxic text that set it apart.  A window of a text is compressed with either; the bytes by
+which the toxic one does better are the window's distance.  A document's distance is its
+largest window's, and a monotone calibration on labelled rows that trained no dictionary
+turns it into a score.
+
+Toxic documents are ordinary text but for a few words, so that a dictionary of all their text
+is one of ordinary text.  The passages are the words whose first letters, or which whole,
+stand in more toxic documents than chance can explain (a likelihood ratio against the number
+of things looked at) and 20 times as often as in ordinary ones; they are taken as often as
+they occur.  A window is one word with the spaces around it, lower case, letters only; so that
+a match weighs more than the fixed costs of a short frame, every byte is spelled as three
+fixed pseudo-random bytes before training and compression alike.  Words recur, so workers
+keep a bounded table of windows already measured; that changes no result.
+
+Learning takes bounded samples: about `TOXIC_ROWS` and `ORDINARY_ROWS` labelled rows, chosen
+by a hash of doc_id and read whole, and for the ordinary dictionary `ORDINARY_WINDOWS` windows
+of five words, spread evenly over them.  Every document is scored whole.
 
 Edge cases: null and empty texts, and texts without a letter, have distance 0 and its
-calibrated score; without toxic or ordinary rows to learn from, every score is 0; repeated
-rows are scored each; an empty table gives an empty result; extra columns are not looked at.
+calibrated score; very long texts are scored whole, in time linear in their length; windows of
+equal distance count alike; without toxic or ordinary rows to learn from, every score is 0;
+rows that share a doc_id are scored each by their own text; repeated rows are scored each; a
+null doc_id is scored but teaches nothing; an empty table gives an empty result; extra columns
+are not looked at.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -35,8 +43,9 @@ from pyspark.sql import functions as F
 from quillspark.llm import words
 from quillspark.llm.common import ship, table
 
-TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_LONGEST = 1200, 4000, 20_000
-ORDINARY_BYTES, TOXIC_BYTES = 8000, 2000
+TOXIC_ROWS, ORDINARY_ROWS, ORDINARY_WINDOWS = 1200, 4000, 40_000
+ORDINARY_BYTES, TOXIC_BYTES = 8000, 2000  # of the dictionaries; the toxic one grows with the passages, up to MOST_TOXIC_BYTES
+MOST_TOXIC_BYTES = 32_000
 WINDOWS_KEPT = 500_000
 _NO_LETTER = re.compile(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]+")
 _SPELLED = [words.keys(256, 8)[i].tobytes()[3:6] for i in range(256)]
@@ -58,6 +67,15 @@ def _marks(word: bytes) -> list[bytes]:
     return [b" " + word[:k] for k in (4, 5, 6, 8) if len(word) > k] + ([b" " + word + b" "] if len(word) >= 4 else [])
 
 
+def _apart(k: int, n: int, share: float, tried: int) -> bool:
+    """Whether k toxic documents among the n that have a mark are more than chance: share of toxic ones among all, number of marks."""
+    r = k / n
+    if k < 3 or r <= share:
+        return False
+    gain = k * math.log(r / share) + (n - k) * math.log((1 - r) / (1 - share) if k < n else 1.0)
+    return gain > math.log(100 * tried)
+
+
 def passages(toxic: list[str], ordinary: list[str]) -> list[bytes]:
     """Words of toxic texts that set them apart, as often as they occur."""
     in_toxic: Counter[bytes] = Counter()
@@ -65,7 +83,8 @@ def passages(toxic: list[str], ordinary: list[str]) -> list[bytes]:
     for texts, counts in ((toxic, in_toxic), (ordinary, in_ordinary)):
         for t in texts:
             counts.update({m for w in set(windows(t)) for m in _marks(w)})
-    apart = {m for m, n in in_toxic.items() if n >= max(3, 0.02 * len(toxic)) and n / len(toxic) > 20 * (in_ordinary[m] + 0.5) / max(1, len(ordinary))}
+    share = len(toxic) / (len(toxic) + len(ordinary))
+    apart = {m for m, k in in_toxic.items() if _apart(k, k + in_ordinary[m], share, len(in_toxic)) and k / len(toxic) > 20 * (in_ordinary[m] + 0.5) / len(ordinary)}
     return [b" " + w + b" " for t in toxic for w in windows(t) if any(m in apart for m in _marks(w))]
 
 
@@ -92,9 +111,10 @@ class Model:
         if not toxic or not ordinary:
             return None
         apart = passages(toxic, ordinary) or [b" " + w + b" " for t in toxic for w in windows(t)]
-        texts = [windows(t) for t in ordinary[: ORDINARY_ROWS // 2]]
-        plain = [spell(b" " + b" ".join(w[i : i + 5]) + b" ") for w in texts for i in range(0, len(w), 5)]
-        model = Model(_dictionary(plain[:40_000], ORDINARY_BYTES), _dictionary([spell(w) for w in apart], TOXIC_BYTES), np.zeros(0))
+        plain = [b" " + b" ".join(w[i : i + 5]) + b" " for t in ordinary for w in [windows(t)] for i in range(0, len(w), 5)]
+        plain = plain[:: -(-len(plain) // ORDINARY_WINDOWS) or 1]
+        size = min(MOST_TOXIC_BYTES, max(TOXIC_BYTES, 4 * sum(map(len, set(apart)))))
+        model = Model(_dictionary([spell(w) for w in plain], ORDINARY_BYTES), _dictionary([spell(w) for w in apart], size), np.zeros(0))
         measure = Measure(model)
         model.scores = _calibrated([(measure.text(t), y) for t, y in held or train])
         return model
@@ -120,16 +140,16 @@ class Measure:
 
     def __init__(self, model: Model):
         self.ordinary = _compressor(model.ordinary)
-        self.both = _compressor(model.ordinary + model.toxic)
+        self.toxic = _compressor(model.toxic)
         self.scores = model.scores
         self.kept: dict[bytes, int] = {}
 
     def window(self, word: bytes) -> int:
-        """Bytes that the toxic dictionary saves on a word."""
+        """Bytes by which the toxic dictionary does better on a word."""
         got = self.kept.get(word)
         if got is None:
             spelled = spell(b" " + word + b" ")
-            got = max(0, len(self.ordinary.compress(spelled)) - len(self.both.compress(spelled)))
+            got = max(0, len(self.ordinary.compress(spelled)) - len(self.toxic.compress(spelled)))
             if len(self.kept) >= WINDOWS_KEPT:
                 self.kept.clear()
             if len(word) < 64:
@@ -159,7 +179,7 @@ def _loaded(ordinary: bytes, toxic: bytes, scores: np.ndarray) -> Measure:
     return _LOADED[key]
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: dict[int, int], learnable: str, longest: int) -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: dict[int, int], learnable: str) -> DataFrame:
     """text and label of a bounded sample of the labelled rows that the condition on doc_id allows: about `rows` of each label, by a hash of doc_id."""
     own = labels.where(f"doc_id is not null and {label} is not null and ({learnable})").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(label).alias("label"))
     counts = {r[0]: r[1] for r in own.groupBy("label").count().collect()}
@@ -169,7 +189,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: dict[int, int
     order = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(8)), F.lit(1 << 40)) / float(1 << 40)
     picked = own.withColumn("_order", order).where(F.col("_order") < chance)
     picked = F.broadcast(picked.limit(2 * sum(rows.values())))  # its size is bounded by `rows`
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(f"length(text) between 1 and {longest}")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text <> ''")
     return texts.join(picked, "doc_id").orderBy("_order", "doc_id", "text").limit(2 * sum(rows.values())).select("doc_id", "text", "label")
 
 
@@ -192,6 +212,6 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score and predicted; rows with crc32(doc_id) mod 5 = 0 teach nothing."""
     docs = table(spark, sf_dir, "documents")
     held = "crc32(cast(doc_id as string)) % 5 = 0"
-    rows = labelled(docs, table(spark, sf_dir, "labels"), "toxic", {0: ORDINARY_ROWS, 1: TOXIC_ROWS}, f"not ({held})", SAMPLE_LONGEST)
+    rows = labelled(docs, table(spark, sf_dir, "labels"), "toxic", {0: ORDINARY_ROWS, 1: TOXIC_ROWS}, f"not ({held})")
     model = Model.fit([(r["text"], r["label"]) for r in rows.collect()])
     return score(docs, model).select("doc_id", F.expr(f"coalesce({held}, false)").alias("held_out"), "score", F.expr("cast(score >= 0.5 as int)").alias("predicted"))
