@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspark.functions.labels import strip
+
 _BLANK = r"^[ \t\r\n]+|[ \t\r\n]+$"
 
 
@@ -29,32 +31,42 @@ def think_block(text: Column) -> Column:
 
 
 def split_steps(text: Column, mark: str = "<step split>") -> Column:
-    """Steps of a response: by the mark, else by empty lines, else by lines; blank ones drop out."""
-    text = trim(text)
-    by_mark, by_blank = F.split(text, mark), F.split(text, r"\n\s*\n")
-    parts = F.when(F.size(by_mark) > 1, by_mark).when(F.size(by_blank) > 1, by_blank).otherwise(F.split(text, "\n"))
-    return F.filter(F.transform(parts, trim), lambda x: x != "")
+    """Steps of a response: by the mark, else by empty lines, else before lines that begin a step or an item, else by lines; blank ones drop out."""
+    text = strip(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")))
+    # fixed values: how steps and items begin
+    by_blank, by_start = F.split(text, r"\n\s*\n+"), F.split(text, r"\n(?=(?:Step\s*\d+|步骤\s*\d+|[-*]\s+))")
+    parts = F.when(text.contains(mark), F.split(text, mark)).when(F.size(by_blank) > 1, by_blank).when(F.size(by_start) > 1, by_start).otherwise(F.split(text, "\n"))
+    return F.filter(F.transform(parts, strip), lambda x: x != "")
 
 
 def truncate(text: Column, limit: int) -> Column:
-    """Up to `limit` characters, cut behind the last full stop or line end if that lies past 60 % of them."""
+    """Up to `limit` characters, cut before the last blank line, line end, full stop or semicolon (in this order) that lies from 60 % of them on."""
+    text = strip(F.coalesce(text, F.lit("")))
     head = F.substring(text, 1, limit)
-    last = lambda mark: limit + 1 - F.nullif(F.instr(F.reverse(head), mark), F.lit(0))
-    cut = F.greatest(F.coalesce(last("."), F.lit(0)), F.coalesce(last("\n"), F.lit(0)))
-    return F.when(F.length(text) <= limit, text).when(cut > int(0.6 * limit), F.substring(text, F.lit(1), cut)).otherwise(head)
+    out = F.when(F.length(text) <= limit, text)
+    for mark in ("\n\n", "\n", ". ", "; "):  # fixed values
+        at = limit - F.instr(F.reverse(head), mark[::-1]) - len(mark) + 1  # characters before the last one
+        out = out.when(head.contains(mark) & (at >= int(0.6 * limit)), _right_strip(F.substring(head, F.lit(1), at)))
+    return out.otherwise(_right_strip(head))
+
+
+def _right_strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)\s+$", "")
 
 
 def parse_scores(reply: Column, expected: int) -> Column:
-    """0 or 1 for each number of a `{"Score": [...]}` reply; -2 for what is none, and for all if there are too few or many."""
-    inner = F.regexp_extract(reply, r'\{\s*"Score"\s*:\s*\[([^\]]*)\]\s*\}', 1)
-    one = lambda x: F.when(F.trim(x).try_cast("double") > 0, 1).when(F.trim(x).try_cast("double").isNull(), -2).otherwise(0)
-    parts = F.transform(F.split(inner, ","), one)
+    """0 or 1 for each number of a `{"Score": [...]}` reply, blank items apart; -2 for what is none, and for all if there are too few or many."""
+    inner = F.regexp_extract(F.coalesce(reply, F.lit("")), r'\{\s*"Score"\s*:\s*\[([^\]]*)\]\s*\}', 1)
+    items = F.filter(F.transform(F.split(inner, ","), strip), lambda x: x != "")
+    number = lambda x: x.try_cast("double")
+    parts = F.transform(items, lambda x: F.when(number(x).isNull(), -2).when((number(x) > 0) & ~F.isnan(number(x)), 1).otherwise(0))
     return F.when(F.size(parts) == expected, parts).otherwise(F.array_repeat(F.lit(-2), expected))
 
 
-def redact(text: Column, left: int, right: int) -> Column:
-    """Both ends of a secret."""
-    return F.concat(F.left(text, F.lit(left)), F.lit("***"), F.right(text, F.lit(right)))
+def redact(text: Column) -> Column:
+    """Both ends of a secret: six and four characters, or the first two of one that has ten at most; nothing of an empty one."""
+    long = F.concat(F.left(text, F.lit(6)), F.lit("***"), F.right(text, F.lit(4)))
+    return F.when(F.coalesce(text, F.lit("")) == "", "").when(F.length(text) <= 10, F.concat(F.left(text, F.lit(2)), F.lit("***"))).otherwise(long)
 
 
 def percent(text: Column) -> Column:

@@ -20,11 +20,42 @@ def moving_average(rows: DataFrame, by: str, order: str, value: str, width: int)
     return rows.withColumn("smoothed", F.when((n < 3) | F.lit(width <= 1), F.col(value)).otherwise(frame))
 
 
-def numeric_summary(value: Column, prefix: str) -> list[Column]:
-    """sum, mean, exact percentiles by linear interpolation, and max; 0 where there is no value."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95), F.lit(0.99)))
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return [zero(F.sum(value)).alias(f"{prefix}_sum"), zero(F.avg(value)).alias(f"{prefix}_mean"), *(zero(F.get(p, i)).alias(f"{prefix}_{n}") for i, n in enumerate(("p50", "p90", "p95", "p99"))), zero(F.max(value)).alias(f"{prefix}_max")]
+def order_statistics(rows: DataFrame, by: list[str], value: str, ranks: dict[str, str]) -> DataFrame:
+    """by, n, and for each name the value at a rank (from 0) within the group; ranks between two places are interpolated.
+
+    ranks: SQL over n, the number of values.  Exact, though no group is sorted or held whole:
+    approximate quantiles bound each rank from either side, values below are counted, and only
+    the hundredth part of a group that lies between is put in order.  Groups of fewer than
+    2000 values are ordered whole.
+    """
+    live = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    sizes = live.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("_v", F.array(*(F.lit(i / 200) for i in range(201))), 10_000).alias("_q"))
+    wanted = sizes.select(*by, "n", "_q", F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.expr(f"cast({sql} as double)").alias("rank")) for name, sql in ranks.items()))).alias("w"))
+    at = F.floor(F.col("w.rank") / F.col("n") * 200).cast("int")  # of the 200 parts; one more on either side covers the error of the quantiles
+    wanted = wanted.select(*by, "n", "w.name", "w.rank", F.when(F.col("n") >= 2000, F.get("_q", F.greatest(at - 1, F.lit(0)))).alias("lo"), F.when(F.col("n") >= 2000, F.get("_q", F.least(at + 2, F.lit(200)))).alias("hi"))
+    key = F.col("lo").isNull()
+    bounds = wanted.groupBy(*by).agg(F.collect_list(F.struct("name", "lo", "hi")).alias("_b"))  # as many as there are ranks
+    each = live.join(bounds, by).select(*by, "_v", F.inline("_b")).where(key | (F.col("_v") <= F.col("hi")))
+    inside = key | (F.col("_v") >= F.col("lo"))
+    counted = each.groupBy(*by, "name", F.when(inside, F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"))  # what lies below is one row, of null
+    upto = F.sum("_c").over(W.partitionBy(*by, "name").orderBy(F.col("_v").asc_nulls_first()))
+    ordered = counted.withColumn("_upto", upto).join(wanted.select(*by, "n", "name", "rank"), [*by, "name"])
+    holds = lambda r: (F.col("_upto") > r) & (F.col("_upto") - F.col("_c") <= r)
+    low, high = F.floor("rank"), F.ceil("rank")
+    found = ordered.groupBy(*by, "n", "name").agg(F.max(F.when(holds(low), F.col("_v"))).alias("a"), F.max(F.when(holds(high), F.col("_v"))).alias("b"), F.max(F.col("rank") - low).alias("f"))
+    found = found.withColumn("_x", F.col("a") + (F.col("b") - F.col("a")) * F.col("f"))
+    return found.groupBy(*by, "n").agg(*(F.max(F.when(F.col("name") == name, F.col("_x"))).alias(name) for name in ranks))
+
+
+def numeric_summary(rows: DataFrame, by: list[str], value: str, prefix: str) -> DataFrame:
+    """by, and the sum, mean, exact percentiles by linear interpolation, and max of each group; 0 where there is no value."""
+    sums = rows.groupBy(*by).agg(F.sum(value).alias("_sum"), F.avg(value).alias("_mean"), F.max(value).alias("_max"))
+    ranks = order_statistics(rows, by, value, {f"p{p}": f"(n - 1) * {p / 100}" for p in (50, 90, 95, 99)})
+    same = F.lit(True)
+    for c in by:
+        same &= sums[c].eqNullSafe(ranks[c])
+    out = sums.join(ranks, same, "left")
+    return out.select(*(sums[c] for c in by), *(F.coalesce(F.col(c), F.lit(0.0)).alias(f"{prefix}_{n}") for n, c in (("sum", "_sum"), ("mean", "_mean"), ("p50", "p50"), ("p90", "p90"), ("p95", "p95"), ("p99", "p99"), ("max", "_max"))))
 
 
 def cost_summary(rows: DataFrame, *by: str) -> DataFrame:

@@ -19,6 +19,30 @@ def numbered(rows: DataFrame, order: list[Column], name: str = "position", width
     return live.withColumn("_inner", inner).join(F.broadcast(before), "_block").withColumn(name, (F.col("_inner") + F.col("_before")).cast("bigint")).drop("_block", "_inner", "_before")
 
 
+def by_blocks(rows: DataFrame, lead: str, then: list[str], name: str, blocks: int = 1024) -> DataFrame:
+    """Rows with their place (from 0) in the order of a number and further columns: places within ranges of equal size of the number, and the ranges' counts before.
+
+    The ranges come from approximate quantiles, so that no range holds much more than its share
+    of the rows, whatever the numbers are; null comes first.
+    """
+    n = rows.count()
+    parts = max(1, min(blocks, n // 10_000))
+    edges = sorted(set(rows.stat.approxQuantile(lead, [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
+    live = rows.withColumn("_block", _bisect(F.col(lead), edges, 0, len(edges)))
+    counts = live.groupBy("_block").agg(F.count("*").alias("_n"))
+    before = counts.select("_block", F.expr("sum(_n) over (order by _block) - _n").alias("_before"))  # at most `blocks` rows
+    inner = F.row_number().over(W.partitionBy("_block").orderBy(F.col(lead).asc_nulls_first(), *then)) - 1
+    return live.withColumn("_inner", inner).join(F.broadcast(before), "_block").withColumn(name, (F.col("_inner") + F.col("_before")).cast("bigint")).drop("_block", "_inner", "_before")
+
+
+def _bisect(value: Column, edges: list[float], lo: int, hi: int) -> Column:
+    """How many of the sorted edges are less than the value (null: lo), as a tree of comparisons."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(value > edges[mid], _bisect(value, edges, mid + 1, hi)).otherwise(_bisect(value, edges, lo, mid))
+
+
 def train_val(rows: DataFrame, ratio: float, order: list[Column]) -> DataFrame:
     """part = val for max(1, int(n * ratio)) rows in a hash order, else train; a ratio of 0 or 1 puts all in one part."""
     if ratio <= 0 or ratio >= 1:
@@ -55,6 +79,20 @@ def align(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
+def union_checked(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """The columns of two tables side by side; the job fails if a key of one is not in the other or occurs twice, or if a column of both has unequal values."""
+    shared = [c for c in a.columns if c in b.columns and c != key]
+    other = b.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_{c}") for c in b.columns if c != key))
+    twice = "count(*) over (partition by {k}) > 1"
+    a, other = a.withColumn("_twice_a", F.expr(twice.format(k=key))), other.withColumn("_twice_b", F.expr(twice.format(k="_key")))
+    both = a.join(other, a[key] == other["_key"], "full")
+    bad = F.col(key).isNull() | F.col("_key").isNull() | F.coalesce("_twice_a", F.lit(True)) | F.coalesce("_twice_b", F.lit(True))
+    for c in shared:
+        bad |= ~F.col(c).eqNullSafe(F.col(f"_{c}"))
+    checked = both.where(F.when(bad, F.raise_error(F.lit("tables of unequal keys or values")).cast("boolean")).otherwise(F.lit(True)))
+    return checked.select(*(c for c in a.columns if c != "_twice_a"), *(F.col(f"_{c}").alias(c) for c in b.columns if c != key and c not in shared))
+
+
 def snake(position: Column, parts: int) -> Column:
     """The part of a place when parts are dealt to and fro, which balances sorted sizes."""
     lap, step = F.floor(position / parts), position % parts

@@ -9,6 +9,7 @@ from quillspark.functions import texts
 from quillspark.operators import conversations as op
 from quillspark.operators import rewards as rule
 from quillspark.operators.relations import table
+from quillspark.operators.sampling import by_blocks
 from quillspark.plans.registry import query
 
 _M = "m as (select conv_id, list({'role': role, 'content': text} order by turn) as messages from conversations group by 1)"
@@ -53,12 +54,14 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _messages(spark, sf_dir).select("conv_id", op.transcript(F.col("messages")).alias("transcript"))
 
 
-@query("prompt_ids", "with f as (select role, text, min(conv_id * 1000 + turn) as first_seen from conversations group by 1, 2) select conv_id, turn, min(first_seen) over (partition by conversations.role, conversations.text) as prompt_id from conversations join f using (role, text)")
+@query("prompt_ids", "with f as (select role, text, min((conv_id, turn)) as first_seen from conversations group by 1, 2), n as (select *, row_number() over (order by first_seen) - 1 as prompt_id from f) select conv_id, turn, prompt_id from conversations c join n on c.role is not distinct from n.role and c.text is not distinct from n.text")
 def prompt_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same prompt, the same id: its first place."""
+    """The same prompt, the same id: dense numbers in the order of first places; equal prompts are combined before they are numbered, block by block."""
     t = table(spark, sf_dir, "conversations")
-    first = t.groupBy("role", "text").agg(F.min(F.col("conv_id") * 1000 + F.col("turn")).alias("prompt_id"))
-    return t.join(first, ["role", "text"]).select("conv_id", "turn", "prompt_id")
+    first = t.groupBy("role", "text").agg(F.min(F.struct("conv_id", "turn")).alias("first_seen"))
+    ids = by_blocks(first.select("role", "text", F.col("first_seen.conv_id").alias("c"), F.col("first_seen.turn").alias("t")), "c", ["t"], "prompt_id")
+    ids = ids.select(F.col("role").alias("r"), F.col("text").alias("x"), "prompt_id")
+    return t.join(ids, F.expr("role <=> r and text <=> x")).select("conv_id", "turn", "prompt_id")
 
 
 @query("kto_pairs", """with a as (select conv_id, conv_id // 16 as batch, arg_max(text, turn) as reply from conversations where role = 'assistant' group by 1, 2)
@@ -97,7 +100,8 @@ def preference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 select doc_id, round(case when len(w) >= 3 then (1.0 - len(list_distinct(g)) / cast(len(g) as double)) * -1.0 else 0.0 end, 9) + 0.0 as penalty from g""")
 def repetition_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far texts repeat their word triples."""
-    return table(spark, sf_dir, "documents").select("doc_id", (F.round(rule.repetition_penalty(F.col("text"), 3, -1.0), 9) + 0.0).alias("penalty"))
+    done = rule.repetition_penalty(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 3, -1.0)
+    return done.select("doc_id", (F.round("penalty", 9) + 0.0).alias("penalty"))
 
 
 @query("length_rewards", """select doc_id, least(0.0, -(length(text) - 1500) / 500.0) as overlong, -1.0 + 0.5 * 2.0 * (1 + cos(least(length(text), 2000) * pi() / 2000)) as cosine,
@@ -116,30 +120,38 @@ def text_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("doc_id", F.length("t").cast("bigint").alias("chars"), F.size(texts.lines(F.col("t"))).cast("bigint").alias("lines"), F.md5(F.col("t").cast("binary")).alias("digest"))
 
 
-@query("step_split", """with t as (select doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) as text from documents) select doc_id, len(list_filter(case when contains(text, chr(10) || chr(10)) then string_split_regex(text, '\\n\\s*\\n') else string_split(text, chr(10)) end, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13)) <> '')) as steps from t""")
+_STRIPPED = "trim(replace(text, chr(13) || chr(10), chr(10)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+_PARTS = f'''t as (select doc_id, {_STRIPPED} as text from documents), b as (select *, string_split_regex(text, '\\n\\s*\\n+') as by_blank, string_split(regexp_replace(text, '\\n((Step\\s*[0-9]+|步骤\\s*[0-9]+|[-*]\\s+))', chr(1) || '\\1', 'g'), chr(1)) as by_mark from t)'''
+
+
+@query("step_split", f'''with {_PARTS} select doc_id, len(list_filter(case when len(by_blank) > 1 then by_blank when len(by_mark) > 1 then by_mark else string_split(text, chr(10)) end, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13)) <> '')) as steps from b''')
 def step_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of steps that responses are split into."""
     return table(spark, sf_dir, "documents").select("doc_id", F.size(texts.split_steps(F.col("text"))).cast("bigint").alias("steps"))
 
 
-@query("truncate_boundary", """with c as (select doc_id, left(text, 200) as head, text from documents), p as (select *, greatest(200 - coalesce(nullif(strpos(reverse(head), '.'), 0), 999) + 1, 200 - coalesce(nullif(strpos(reverse(head), chr(10)), 0), 999) + 1) as cut from c)
-select doc_id, case when length(text) <= 200 then text when cut > 120 then left(text, cut) else head end as shortened from p""")
+_CUT = "case when length(text) <= 200 then text " + " ".join(f"when strpos(head, {m}) > 0 and length(head) - strpos(reverse(head), reverse({m})) - length({m}) + 1 >= 120 then rtrim(left(head, length(head) - strpos(reverse(head), reverse({m})) - length({m}) + 1), ' ' || chr(9) || chr(10) || chr(13))" for m in ("chr(10) || chr(10)", "chr(10)", "'. '", "'; '")) + " else rtrim(head, ' ' || chr(9) || chr(10) || chr(13)) end"
+
+
+@query("truncate_boundary", f"with c as (select doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) as text from documents), h as (select *, left(text, 200) as head from c) select doc_id, {_CUT} as shortened from h")
 def truncate_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts cut at 200 characters, or at the last full stop or line end past 60 % of them."""
+    """Texts cut at 200 characters, or before the last blank line, line end, full stop or semicolon from 60 % of them on."""
     return table(spark, sf_dir, "documents").select("doc_id", texts.truncate(F.col("text"), 200).alias("shortened"))
 
 
-@query("score_lists", """with r as (select event_id, '{"Score": [' || (event_id % 2) || ', ' || (user_id % 3) || case when event_id % 7 = 0 then ', x' else ', 1' end || ']}' as reply from events), p as (select event_id, string_split(regexp_extract(reply, '\\{\\s*"Score"\\s*:\\s*\\[([^\\]]*)\\]\\s*\\}', 1), ',') as v from r)
-select event_id, cast(list_transform(v, lambda x: case when try_cast(trim(x) as double) is null then -2 when try_cast(trim(x) as double) > 0 then 1 else 0 end) as varchar) as scores from p""")
+@query("score_lists", '''with r as (select event_id, case when event_id % 7 = 0 then ['x', '1'] when event_id % 11 = 0 then ['', '1'] when event_id % 13 = 0 then ['NaN', '-1'] else ['1'] end as tail, [cast(event_id % 2 as varchar), cast(user_id % 3 as varchar)] as head from events), v as (select event_id, list_filter(head || tail, lambda x: x <> '') as v from r)
+select event_id, case when len(v) <> 4 then '[-2, -2, -2, -2]' else '[' || array_to_string(list_transform(v, lambda x: case when x = 'x' then '-2' when x in ('1', '2') then '1' else '0' end), ', ') || ']' end as scores from v''')
 def score_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores read from replies, leniently."""
-    reply = F.concat(F.lit('{"Score": ['), (F.col("event_id") % 2).cast("string"), F.lit(", "), (F.col("user_id") % 3).cast("string"), F.when(F.col("event_id") % 7 == 0, ", x").otherwise(", 1"), F.lit("]}"))
-    scores = texts.parse_scores(reply, 3)
+    """Scores read from replies, leniently: blank items don't count, NaN is no positive number, and a wrong number of items spoils all."""
+    tail = F.when(F.col("event_id") % 7 == 0, ", x, 1").when(F.col("event_id") % 11 == 0, ", , 1").when(F.col("event_id") % 13 == 0, ", NaN, -1").otherwise(", 1")
+    reply = F.concat(F.lit('so {"Score": ['), (F.col("event_id") % 2).cast("string"), F.lit(", "), (F.col("user_id") % 3).cast("string"), tail, F.lit("]}"))
+    scores = texts.parse_scores(reply, 4)
     return table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("["), F.array_join(scores.cast("array<string>"), ", "), F.lit("]")).alias("scores"))
 
 
-@query("redacted", "select page_id, left(url, 8) || '***' || right(url, 4) as shown, length(url) as n, md5('{\"id\":' || page_id || ',\"url\":\"' || url || '\"}') as digest from pages")
+@query("redacted", "select page_id, case when length(url) <= 10 then left(url, 2) || '***' else left(url, 6) || '***' || right(url, 4) end as shown, left(url, least(page_id % 14, length(url))) as short, case when page_id % 14 = 0 then '' when page_id % 14 <= 10 then left(url, least(2, page_id % 14)) || '***' else left(url, 6) || '***' || right(left(url, page_id % 14), 4) end as short_shown, md5('{\"id\":' || page_id || ',\"url\":\"' || url || '\"}') as digest from pages")
 def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses with their middle left out, and digests of canonical JSON rows."""
-    row = F.concat(F.lit('{"id":'), F.col("page_id").cast("string"), F.lit(',"url":"'), F.col("url"), F.lit('"}'))
-    return table(spark, sf_dir, "pages").select("page_id", texts.redact(F.col("url"), 8, 4).alias("shown"), F.length("url").cast("bigint").alias("n"), F.md5(row.cast("binary")).alias("digest"))
+    """Addresses, and their beginnings, with their middle left out, and digests of canonical JSON rows."""
+    row = F.to_json(F.struct(F.col("page_id").alias("id"), "url"))
+    short = F.expr("left(url, cast(page_id % 14 as int))")
+    return table(spark, sf_dir, "pages").select("page_id", texts.redact(F.col("url")).alias("shown"), short.alias("short"), texts.redact(short).alias("short_shown"), F.md5(row.cast("binary")).alias("digest"))

@@ -46,7 +46,7 @@ _SUMMARY = "coalesce(sum(latency_sec), 0) as latency_sum, coalesce(avg(latency_s
 @query("latency_percentiles", f"with {COSTS} select mode, {_SUMMARY} from costs group by 1")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact percentiles of latency by mode."""
-    return costs(spark, sf_dir).groupBy("mode").agg(*op.numeric_summary(F.col("latency_sec"), "latency"))
+    return op.numeric_summary(costs(spark, sf_dir), ["mode"], "latency_sec", "latency")
 
 
 _COST = """count(*) as num_samples, cast(sum(num_steps) as bigint) as num_steps, count(*) filter (error) as num_errors, sum(latency_sec) as wall_time_sec, cast(sum(prompt_tokens) as bigint) as prompt_tokens, cast(sum(completion_tokens) as bigint) as completion_tokens,

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import advantages as op
 from quillspark.operators.relations import REWARDS, SOURCES, STEPS, rewards, sources, steps, table
-from quillspark.operators.rewards import class_f1, source_macro
+from quillspark.operators import rewards as rule
+from quillspark.operators.evaluation import order_statistics
+from quillspark.functions.labels import step_label
 from quillspark.plans.registry import query
 
 _G = f"{REWARDS}, g as (select *, avg(reward) over w as m, coalesce(stddev_samp(reward) over w, 0) as s, count(*) over w as n, sum(reward) over w as t from rewards window w as (partition by uid))"
@@ -135,11 +137,12 @@ def policy_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "off_policy_mask",
-    f"""with {_TOKENS}, s as (select seq, avg(old - logp) as d, avg(r) - 0.5 as adv from tok group by 1) select seq, d as divergence, adv as advantage, not (d > 0.05 and adv < 0) as kept from s""",
+    f"""with {_TOKENS}, s as (select seq, sum((old - logp) * mask) / greatest(sum(mask), 1) as d, avg(r) - 0.5 as adv from tok group by 1) select seq, d as divergence, adv as advantage, not (d > 0.05 and adv < 0) as kept from s""",
 )
 def off_policy_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequences far from the old policy with a negative advantage drop out."""
-    s = _tokens(spark, sf_dir).groupBy("seq").agg(F.avg(F.col("old") - F.col("logp")).alias("divergence"), (F.avg("r") - 0.5).alias("advantage"))
+    """Sequences far from the old policy (mean over unmasked tokens; 0 if there is none) with a negative advantage drop out."""
+    far = F.sum((F.col("old") - F.col("logp")) * F.col("mask")) / F.greatest(F.sum("mask"), F.lit(1))
+    s = _tokens(spark, sf_dir).groupBy("seq").agg(far.alias("divergence"), (F.avg("r") - 0.5).alias("advantage"))
     return s.withColumn("kept", ~((F.col("divergence") > 0.05) & (F.col("advantage") < 0)))
 
 
@@ -199,42 +202,102 @@ def length_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.agg(F.avg("n").alias("mean"), F.max("n").alias("longest"), F.min("n").alias("shortest"), F.avg(F.when(F.col("n") >= 8, 1.0).otherwise(0.0)).alias("clip_ratio"))
 
 
-_CLASS = """case when count(*) filter (label = {k}) = 0 then null else coalesce(2.0 * count(*) filter (label = {k} and pred = {k}) / nullif(2 * count(*) filter (label = {k} and pred = {k}) + count(*) filter (label in (0, 1) and label <> {k} and pred = {k}) + count(*) filter (label = {k} and pred <> {k}), 0), 0.0) end"""
+#: Labels of the first six steps of a source; predictions beyond are of steps that nobody asked for.
+_ASKED = 6
+_LABELLED = f"""l as (select source_key, step_index, case when step_index < {_ASKED} then case when score <= 0.125 then 0 when score >= 0.75 then 1 else -1 end end as label, case when pred in (0, 1) then pred end as pred from steps)"""
+_COUNTS = "c as (select source_key, count(label) as targets, count(*) filter (label is not null and pred is null) as missing, count(*) filter (label is null and pred is not null) as extra, " + ", ".join(
+    f"count(*) filter (label = {k}) as has{k}, count(*) filter (label = {k} and pred = {k}) as hit{k}, count(*) filter (label = {1 - k} and pred = {k}) as wrong{k}, count(*) filter (label is null and pred = {k}) as extra{k}" for k in (0, 1)
+) + " from l group by 1)"
+_F = ", ".join(f"case when has{k} + extra{k} > 0 then coalesce(2.0 * hit{k} / nullif(hit{k} + has{k} + wrong{k} + extra{k}, 0), 0) end as f{k}" for k in (0, 1))
+_METRICS = f"""f as (select *, {_F}, has0 + has1 as confident, greatest(0.0, 1.0 - (extra + missing) / cast(greatest(targets, 1) as double)) as cnt from c),
+g as (select *, list_avg(list_filter([f0, f1], lambda x: x is not null)) as raw, least(list_avg(list_filter([f0, f1], lambda x: x is not null)), cnt) as mf, coalesce(hit0 / nullif(cast(has0 as double), 0), 0) as na, coalesce(hit1 / nullif(cast(has1 as double), 0), 0) as pa from f),
+m as (select source_key, """ + ", ".join(
+    f"round(case when confident = 0 then 0.0 else {sql} end, 9) as {n}" for n, sql in {
+        "step": "0.95 * mf + 0.05 * cnt", "accuracy": "(hit0 + hit1) / cast(confident as double)", "macro_f1": "mf", "raw_macro_f1": "raw", "negative_f1": "coalesce(f0, 0)", "positive_f1": "coalesce(f1, 0)",
+        "balanced_accuracy": "(na + pa) / ((has0 > 0)::int + (has1 > 0)::int)", "negative_accuracy": "na", "positive_accuracy": "pa", "pred_negative_ratio": "(hit0 + wrong0) / cast(confident as double)",
+    }.items()
+) + """, round(cnt, 9) as "count", cast(targets - missing + extra as double) as parsed_steps, cast(targets as double) as target_steps, cast(extra as double) as extra_steps, cast(missing as double) as missing_steps from g)"""
 
 
-@query(
-    "reward_source_macro",
-    f"""with {STEPS}, l as (select source_key, pred, case when score <= 0.125 then 0 when score >= 0.75 then 1 else -1 end as label from steps),
-g as (select source_key, {_CLASS.format(k=0)} as f0, {_CLASS.format(k=1)} as f1, count(*) filter (label in (0, 1)) as confident, count(*) filter (label in (0, 1) and pred = label) as correct, 1.0 - count(*) filter (pred = -2) / cast(count(*) as double) as cnt from l group by 1)
-select source_key, case when confident = 0 then 0.0 else least(list_avg(list_filter([f0, f1], lambda x: x is not null)), cnt) end as macro_f1, cnt as count_score, coalesce(correct / nullif(cast(confident as double), 0), 0.0) as accuracy,
-case when confident = 0 then 0.0 else 0.95 * least(list_avg(list_filter([f0, f1], lambda x: x is not null)), cnt) + 0.05 * cnt end as step_score from g""",
-)
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("step_index") < _ASKED, F.coalesce(step_label(F.col("score"), uncertain=-1), F.lit(-1)))
+    return steps(spark, sf_dir).select("source_key", "step_index", label.alias("label"), F.when(F.col("pred").isin(0, 1), F.col("pred")).alias("pred"))
+
+
+def _rounded(rows: DataFrame, *keep: str) -> DataFrame:
+    return rows.select(*keep, *((F.round(c, 9) if c not in ("parsed_steps", "target_steps", "extra_steps", "missing_steps") else F.col(c)).alias(c) for c in rule.STEP_OUTPUTS))
+
+
+@query("reward_source_macro", f"with {STEPS}, {_LABELLED}, {_COUNTS}, {_METRICS} select * from m")
 def reward_source_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The step part of the source-level reward; a prediction of -2 is a step that was not answered."""
-    return source_macro(sources(spark, sf_dir)).select("source_key", "macro_f1", "count_score", "accuracy", "step_score")
+    """The step part of the source-level reward, all fifteen outputs, from counts of step rows."""
+    return _rounded(rule.step_metrics(rule.step_counts(_labelled(spark, sf_dir), "source_key")), "source_key")
 
 
-@query(
-    "class_f1_by_source",
-    f"""with {STEPS}, l as (select source_key, pred, case when score <= 0.125 then 0 when score >= 0.75 then 1 else -1 end as label from steps) select source_key, {_CLASS.format(k=0)} as negative_f1, {_CLASS.format(k=1)} as positive_f1 from l group by 1""",
-)
+@query("class_f1_by_source", f"with {STEPS}, {_LABELLED}, {_COUNTS} select source_key, {_F.replace('as f0', 'as negative_f1').replace('as f1', 'as positive_f1')} from c")
 def class_f1_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F1 of each class in each source, null where the class is absent."""
-    return sources(spark, sf_dir).select("source_key", class_f1(F.col("scores"), F.col("preds"), 0).alias("negative_f1"), class_f1(F.col("scores"), F.col("preds"), 1).alias("positive_f1"))
+    """F1 of each class in each source, steps that were not asked for counted; null where the class is absent."""
+    return rule.step_counts(_labelled(spark, sf_dir), "source_key").select("source_key", rule.class_f1(0).alias("negative_f1"), rule.class_f1(1).alias("positive_f1"))
+
+
+_KIND = "source_key % 6"
+_FIRST = "coalesce(list_position(labels, 0), 0) - 1"
+
+
+def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source_key, labels, response: six forms of a response around the predictions of a source."""
+    rows = _labelled(spark, sf_dir).groupBy("source_key").agg(F.array_sort(F.collect_list(F.struct("step_index", "label", "pred"))).alias("x"))
+    labels = F.filter(F.col("x.label"), lambda v: v.isNotNull())
+    lines = F.array_join(F.transform(F.filter("x", lambda e: e["pred"].isNotNull()), lambda e: F.concat(F.lit("- Step "), e["step_index"].cast("string"), F.lit(": \\boxed{"), e["pred"].cast("string"), F.lit("}"))), "\n")
+    listed = F.concat(F.lit("["), F.array_join(F.transform("x", lambda e: F.coalesce(e["pred"].cast("string"), F.lit('"1"'))), ", "), F.lit("]"))
+    named = F.concat(F.lit("{"), F.array_join(F.transform(F.filter("x", lambda e: e["pred"].isNotNull()), lambda e: F.concat(F.lit('"step '), e["step_index"].cast("string"), F.lit('": '), e["pred"].cast("string"))), ", "), F.lit("}"))
+    first = (F.array_position(F.transform("x", lambda e: F.coalesce(e["pred"], F.lit(-2))), 0) - 1).cast("string")
+    think = F.repeat(F.lit("because "), (F.col("source_key") % 400).cast("int"))
+    body = F.concat(F.lit("<think>"), think, F.lit("</think>"))
+    answer = lambda a: F.concat(F.lit("\n<answer>"), a, F.lit("</answer>"))
+    kind = F.col("source_key") % 6
+    response = (
+        F.when(kind == 0, F.concat(body, answer(F.concat(lines, F.lit("\nFirstError: "), first)))).when(kind == 1, F.concat(F.lit("<think>"), think, answer(lines))).when(kind == 2, F.concat(body, answer(listed)))
+        .when(kind == 3, body).when(kind == 4, F.concat(F.lit("So: "), body, answer(F.concat(lines, F.lit("\nFirstError: "), first)))).otherwise(F.concat(body, answer(named)))
+    )
+    return rows.select("source_key", labels.alias("labels"), response.alias("response"))
+
+
+_ANSWERED = f"""r as (select source_key, list(label order by step_index) filter (label is not null) as labels, coalesce(list_position(list(coalesce(pred, -2) order by step_index), 0), 0) - 1 as declared, bool_or(pred is not null) as given from l group by 1),
+a as (select l.source_key, step_index, label, case when {_KIND.replace('source_key', 'l.source_key')} <> 3 then pred end as pred from l)"""
+_FORMATS = """q as (select source_key, labels, declared, source_key % 6 as kind, source_key % 6 in (0, 2, 4, 5) or (source_key % 6 = 1 and given) as answered, case when source_key % 6 = 1 then 0 else greatest(8 * (source_key % 400) - 1, 0) end as tn from r),
+s as (select *, cast(case when kind in (0, 2, 5) then case when tn > 0 and answered then 1.0 else 0.5 end
+  else least(0.8, (case when tn > 0 then 0.3 else 0 end) + (case when answered then 0.4 else 0 end) + (case when kind <> 4 then 0.15 else 0 end) + (case when kind <> 3 then 0.15 else 0 end)) end as double) as fmt from q)"""
+
+
+def _think(n: str, most: int) -> str:
+    return f"case when {n} = 0 then 0.0 when {n} < 80 then {n} / 80.0 when {n} > {most} then greatest(0.0, 1.0 - ({n} - {most}) / {most}.0) else 1.0 end"
+
+
+_ANSWER_COUNTS = _COUNTS.replace(" from l group", " from a group")
+
+
+@query("response_rewards", f"with {STEPS}, {_LABELLED}, {_ANSWERED}, {_ANSWER_COUNTS}, {_METRICS}, {_FORMATS} select m.*, round(fmt, 9) as format, round({_think('tn', 1800)}, 9) as think, round(0.92 * step + 0.05 * fmt + 0.03 * {_think('tn', 1800)}, 7) as overall from m join s using (source_key)")
+def response_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole responses, parsed and scored: blocks, steps as lines, lists and objects, and the weighted overall."""
+    done = rule.response_rewards(_responses(spark, sf_dir))
+    return _rounded(done, "source_key", F.round("format", 9).alias("format"), F.round("think", 9).alias("think"), F.round("overall", 7).alias("overall"))
+
+
+_LOCAL = f"case when kind in (0, 4) and declared = {_FIRST} and declared < len(labels) then 1::double else 0::double end"
+_STEP_15 = "case when confident = 0 then 0.0 else 0.85 * mf + 0.15 * cnt end"
 
 
 @query(
     "localize_reward",
-    f"""with {SOURCES}, f as (select source_key, coalesce(list_position(list_transform(scores, lambda x: case when x <= 0.125 then 0 else 1 end), 0), 0) - 1 as truth, coalesce(list_position(preds, 0), 0) - 1 as pred, len(preds) as n from sources)
-select source_key, truth, pred, case when truth = pred then 1.0 when truth < 0 or pred < 0 then 0.0 else greatest(0.0, 1.0 - abs(truth - pred) / cast(n as double)) end as localize from f""",
+    f"""with {STEPS}, {_LABELLED}, {_ANSWERED}, {_ANSWER_COUNTS}, {_METRICS}, {_FORMATS}, z as (select g.source_key, {_LOCAL} as localize, case when kind in (0, 4) then declared else -1 end as first_error_pred, {_FIRST} as first_error_target, case when kind in (0, 4) then round(least(1.0, fmt + 0.05), 9) else round(fmt, 9) end as format,
+case when confident = 0 then 0.0 else mf end as mf, {_STEP_15} as step, {_think('tn', 2400)} as think from g join s using (source_key))
+select source_key, localize, cast(first_error_pred as double) as first_error_pred, cast(first_error_target as double) as first_error_target, format, round(least(mf, localize), 9) as cons, round(0.75 * step + 0.2 * least(mf, localize) + 0.04 * format + 0.01 * think, 7) as overall from z""",
 )
 def localize_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How near the first step predicted wrong is to the first that is."""
-    first = lambda c: (F.array_position(c, 0) - 1).cast("int")
-    labels = F.transform("scores", lambda x: F.when(x <= 0.125, 0).otherwise(1))
-    rows = sources(spark, sf_dir).select("source_key", first(labels).alias("truth"), first(F.col("preds")).alias("pred"), F.size("preds").alias("n"))
-    near = F.greatest(F.lit(0.0), 1.0 - F.abs(F.col("truth") - F.col("pred")) / F.col("n"))
-    return rows.select("source_key", "truth", "pred", F.when(F.col("truth") == F.col("pred"), 1.0).when((F.col("truth") < 0) | (F.col("pred") < 0), 0.0).otherwise(near).alias("localize"))
+    """Rewards with the declared first error: right or not, and counted only as far as the steps support it."""
+    done = rule.response_rewards(_responses(spark, sf_dir), localized=True)
+    return done.select("source_key", "localize", "first_error_pred", "first_error_target", F.round("format", 9).alias("format"), F.round("cons", 9).alias("cons"), F.round("overall", 7).alias("overall"))
 
 
 @query(
@@ -254,12 +317,8 @@ def entropy_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("upper_median", "select event_type, max(v) filter (rn = n // 2 + 1) as upper_median, count(*) as n from (select event_type, value as v, row_number() over (partition by event_type order by value, event_id) as rn, count(*) over (partition by event_type) as n from events) group by 1")
 def upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The element at half the count, which is not interpolated: by the exact histogram of values, whose running counts need no group in one task."""
-    rows = table(spark, sf_dir, "events").groupBy("event_type", "value").agg(F.count("*").alias("c"))
-    from pyspark.sql import Window as W
-
-    upto = rows.withColumn("upto", F.sum("c").over(W.partitionBy("event_type").orderBy("value"))).withColumn("n", F.sum("c").over(W.partitionBy("event_type")))
-    return upto.where("upto > n div 2").groupBy("event_type").agg(F.min("value").alias("upper_median"), F.max("n").alias("n"))
+    """The element at half the count, which is not interpolated."""
+    return order_statistics(table(spark, sf_dir, "events"), ["event_type"], "value", {"upper_median": "n div 2"})
 
 
 @query(
@@ -275,11 +334,11 @@ def response_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "remax_returns",
-    f"""with {_TOKENS} select seq, t, round(sum(r * mask) over (partition by seq order by t desc rows unbounded preceding) - 0.5, 6) + 0.0 as ret from tok""",
+    f"""with {_TOKENS}, s as (select seq, sum(r) - 0.5 as adv from tok group by 1) select seq, t, round(sum(r * mask) over (partition by seq order by t desc rows unbounded preceding), 6) + 0.0 as ret, round(adv * mask, 6) + 0.0 as advantage from tok join s using (seq)""",
 )
 def remax_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums of later rewards less a baseline."""
-    rows = _sequences(spark, sf_dir)
-    ones = F.transform("mask", lambda m: F.lit(1))
-    out = rows.select("seq", F.posexplode(op.discounted(F.zip_with("r", "mask", lambda r, m: r * m), ones, 1.0)).alias("t", "ret"))
-    return out.select("seq", "t", (F.round(F.col("ret") - 0.5, 6) + 0.0).alias("ret"))
+    """Sums of later unmasked rewards; the baseline is taken off the advantage alone, which is the same for all unmasked tokens."""
+    rows = _tokens(spark, sf_dir)
+    total = rows.groupBy("seq").agg((F.sum("r") - 0.5).alias("adv"))
+    ret = F.expr("sum(r * mask) over (partition by seq order by t desc rows unbounded preceding)")
+    return rows.withColumn("ret", ret).join(total, "seq").select("seq", "t", (F.round("ret", 6) + 0.0).alias("ret"), (F.round(F.col("adv") * F.col("mask"), 6) + 0.0).alias("advantage"))

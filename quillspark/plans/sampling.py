@@ -132,12 +132,13 @@ def selected_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").join(chosen, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey")
 
 
-@query("union_checked", "select c_custkey, c_acctbal, sum(o_totalprice) as spent, count(o_orderkey) as orders from customer left join orders on c_custkey = o_custkey group by 1, 2")
+@query("union_checked", "select c_custkey, c_acctbal, c_nationkey, sum(o_totalprice) as spent, count(o_orderkey) as orders from customer left join orders on c_custkey = o_custkey group by 1, 2, 3")
 def union_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns of two aligned tables side by side."""
+    """Columns of two tables of the same keys side by side; a column of both must agree."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
     spent = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("spent"), F.count("*").alias("n"))
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    return c.join(spent, c.c_custkey == spent.o_custkey, "left").select("c_custkey", "c_acctbal", "spent", F.coalesce("n", F.lit(0)).alias("orders"))
+    other = c.join(spent, c.c_custkey == spent.o_custkey, "left").select("c_custkey", "c_nationkey", "spent", F.coalesce("n", F.lit(0)).alias("orders"))
+    return op.union_checked(c, other, "c_custkey")
 
 
 @query("truncated_windows", "with p as (select doc_id, unnest(range(0, greatest(1, (length(text) + 499) // 500))) as piece, text from documents) select doc_id, cast(piece as bigint) as piece, length(substring(text, piece * 500 + 1, 500)) as n, md5(substring(text, piece * 500 + 1, 500)) as digest from p")

@@ -1,11 +1,12 @@
 """Semantics of operators on literal edge cases."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions import answers, labels, texts
+from quillspark.functions import answers, labels, responses, texts
 from quillspark.operators import advantages, conversations, evaluation, rewards, sampling, supervision
 
 
@@ -75,8 +76,21 @@ def test_short_series_stay(spark):
 
 
 def test_summary_of_nothing_is_zero(spark):
-    df = spark.createDataFrame([(None,)], "v double")
-    assert set(df.agg(*evaluation.numeric_summary(F.col("v"), "x")).first()) == {0.0}
+    df = spark.createDataFrame([("k", None)], "k string, v double")
+    assert evaluation.numeric_summary(df, ["k"], "v", "x").first()[1:] == (0.0,) * 7
+
+
+def test_order_statistics_of_large_and_small_groups(spark):
+    rnd = random.Random(1)
+    values = {"big": [round(rnd.gauss(0, 5), 1) for _ in range(9000)] + [3.0] * 4000, "small": [5.0, 1.0, 4.0], "one": [7.0], "hot": [2.0] * 2500}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs] + [("small", None)], "k string, v double")
+    got = {r.k: r for r in evaluation.order_statistics(df, ["k"], "v", {"p50": "(n - 1) * 0.5", "p99": "(n - 1) * 0.99", "upper": "n div 2", "first": "0"}).collect()}
+    for k, vs in values.items():
+        vs = sorted(vs)
+        at = lambda r, vs=vs: vs[math.floor(r)] + (vs[math.ceil(r)] - vs[math.floor(r)]) * (r - math.floor(r))
+        want = [at((len(vs) - 1) * 0.5), at((len(vs) - 1) * 0.99), vs[len(vs) // 2], vs[0]]
+        assert [got[k].p50, got[k].p99, got[k].upper, got[k].first] == pytest.approx(want), k
+        assert got[k].n == len(vs)
 
 
 def test_latest(spark):
@@ -121,11 +135,47 @@ def test_importance_weights(spark):
     assert one("token_truncate") == [0.5, 1.5, 2.0, 2.0] and one("token_mask") == [0.5, 1.5, 2.0, 0.0]
 
 
-def test_rewards(spark):
-    df = spark.createDataFrame([([0.0, 1.0, 0.5], [0, 1, 1]), ([0.5], [-2]), ([0.0, 1.0], [-2, 1])], "scores array<double>, preds array<int>")
-    got = rewards.source_macro(df).collect()
-    assert got[0].macro_f1 == 1.0 and got[1].macro_f1 == 0.0 and got[2].macro_f1 == 0.5 and got[2].count_score == 0.5
-    assert value(spark, [("a a a a",), ("a",), (None,)], "t string", rewards.repetition_penalty(F.col("t"), 2, -1.0)) == [pytest.approx(-2 / 3), 0.0, 0.0]
+def test_step_metrics_count_steps_that_nobody_asked_for(spark):
+    def of(labels, preds):
+        entries = [(k, v) for k, v in preds.items()]
+        df = spark.createDataFrame([(labels, entries)], "labels array<int>, e array<struct<step:bigint,score:int>>")
+        return rewards.step_metrics(df.select(rewards.list_counts(F.col("labels"), F.col("e")).alias("c")).select("c.*")).first().asDict()
+
+    right = of([0, 1, -1], {0: 0, 1: 1, 2: 1})
+    assert right["macro_f1"] == right["step"] == 1.0 and right["parsed_steps"] == 3.0
+    extra = of([0, 1], {0: 0, 1: 1, 2: 0})  # one more 0: its F1 falls to 2/3, and the count to a half caps the rest
+    assert extra["negative_f1"] == pytest.approx(2 / 3) and extra["count"] == extra["macro_f1"] == 0.5 and extra["raw_macro_f1"] == pytest.approx(5 / 6)
+    absent = of([1, 1], {0: 1, 1: 1, 5: 0})  # no label of 0, but a 0 that nobody asked for
+    assert absent["negative_f1"] == 0.0 and absent["raw_macro_f1"] == 0.5
+    none = of([-1], {})
+    assert none["step"] == 0.0 and none["count"] == 0.0 and none["missing_steps"] == 1.0
+    half = of([0, 1], {1: 1})
+    assert half["balanced_accuracy"] == 0.5 and half["pred_negative_ratio"] == 0.0 and half["count"] == 0.5
+
+
+def test_responses(spark):
+    said = [
+        ("<think> a </think>\n<answer>Step 0: 1\n- step 1 => \\boxed{0}\n2) 1</answer>", 1.0, {0: 1, 1: 0, 2: 1}),
+        ("<think></think><answer>[1, 0, 2, \"1\", true]</answer>", 0.5, {0: 1, 1: 0, 4: 1}),
+        ('x <think>t</think> <answer>{"s1": 0, "2": 1, "b": 1}', 0.3, {}),
+        ('<answer>{"s1": 0, "2": 1, "b": 1, "1": 1}</answer>', 0.55, {1: 0, 2: 1}),  # "s1" is the last key that names step 1
+        ("<answer>[1, oops\n3: 0</answer>", 0.55, {3: 0}),
+        ("", 0.0, {}),
+        (None, 0.0, {}),
+    ]
+    df = spark.createDataFrame([(r,) for r, _, _ in said], "response string")
+    b = responses.blocks(F.col("response"))
+    got = df.select(b["format"].alias("f"), responses.last_of_each(responses.step_scores(b["answer"])).alias("e")).collect()
+    for r, (_, fmt, scores) in zip(got, said, strict=True):
+        assert r.f == pytest.approx(fmt) and {e.step: e.score for e in r.e} == scores
+    declared = [("FirstError: 2", [1, 1, 0], 1.0), ("firsterror = -1", [1, 1], 1.0), ("FirstError: 5", [0], 0.0), ("none", [0], 0.0), ("FirstError: 1", [0, 0], 0.0)]
+    df = spark.createDataFrame([(a, l) for a, l, _ in declared], "a string, labels array<int>")
+    assert [r[0] for r in df.select(rewards.localize(responses.first_error(F.col("a")), F.col("labels"))).collect()] == [w for _, _, w in declared]
+
+
+def test_text_rewards(spark):
+    rows = spark.createDataFrame([("a a a a",), ("a",), (None,), ("b c b c b",)], "t string")
+    assert [r.penalty for r in rewards.repetition_penalty(rows, "t", 2, -1.0).collect()] == [pytest.approx(-2 / 3), 0.0, 0.0, pytest.approx(-0.5)]
     assert value(spark, [(0,), (2000,)], "n int", rewards.cosine_length(F.col("n"), 2000, -1.0, 1.0)) == [1.0, -1.0]
 
 
@@ -139,9 +189,12 @@ def test_messages(spark):
 
 
 def test_texts(spark):
-    assert value(spark, [('{"Score": [1, 0.5, x]}',), ('{"Score": [1]}',), ("",)], "t string", texts.parse_scores(F.col("t"), 3)) == [[1, 1, -2], [-2, -2, -2], [-2, -2, -2]]
+    assert value(spark, [('{"Score": [1, 0.5, x]}',), ('{"Score": [1]}',), ("",), ('{"Score": [1, , NaN, -1]}',)], "t string", texts.parse_scores(F.col("t"), 3)) == [[1, 1, -2], [-2, -2, -2], [-2, -2, -2], [1, 0, 0]]
     assert value(spark, [("12.5%",), ("80",), ("0.5",)], "t string", texts.percent(F.col("t"))) == [0.125, 0.8, 0.5]
-    assert value(spark, [("a<step split>b<step split> ",), ("a\n\nb",), ("a\nb\n\n",)], "t string", texts.split_steps(F.col("t"))) == [["a", "b"], ["a", "b"], ["a", "b"]]
+    assert value(spark, [("a<step split>b<step split> ",), ("a\r\n\r\nb",), ("a\nb\n\n",), ("so\nStep 1: x\ny\n- z",), (None,)], "t string", texts.split_steps(F.col("t"))) == [["a", "b"], ["a", "b"], ["a", "b"], ["so", "Step 1: x\ny", "- z"], []]
+    cut = [("x" * 70 + ". " + "y" * 60,), ("x" * 70 + "\n" + "y" * 5 + "; " + "z" * 60,), ("x" * 130,), (" short ",), ("x" * 60 + "; " + "y" * 70,), (None,)]
+    assert value(spark, cut, "t string", texts.truncate(F.col("t"), 100)) == ["x" * 70, "x" * 70, "x" * 100, "short", "x" * 60, ""]
+    assert value(spark, [("sk-1234567890",), ("short",), ("",), (None,)], "t string", texts.redact(F.col("t"))) == ["sk-123***7890", "sh***", "", ""]
     assert value(spark, [("x <think> deep </think> y",)], "t string", texts.think_block(F.col("t"))) == ["deep"]
 
 
@@ -156,6 +209,17 @@ def test_sampling(spark):
     assert padded.count() == 12 and padded.where("padding").count() == 2
 
 
+def test_numbers_by_blocks_and_checked_union(spark):
+    rows = spark.createDataFrame([(10**15,), (3,), (3,), (None,), (-5,)], "id bigint")
+    assert sorted((r.id is not None, r.id or 0, r.p) for r in sampling.by_blocks(rows, "id", [], "p").collect()) == [(False, 0, 0), (True, -5, 1), (True, 3, 2), (True, 3, 3), (True, 10**15, 4)]
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
+    b = spark.createDataFrame([(1, "x", 5), (2, "y", 6)], "k int, v string, w int")
+    assert sorted(map(tuple, sampling.union_checked(a, b, "k").collect())) == [(1, "x", 5), (2, "y", 6)]
+    for other in (b.where("k = 1"), b.withColumn("v", F.lit("x")), b.unionAll(b)):
+        with pytest.raises(Exception):
+            sampling.union_checked(a, other, "k").collect()
+
+
 def test_islands_span_blocks(spark):
     rows = [(i, int(i in (3, 25_000))) for i in range(0, 30_000, 7)] + [(3, 1), (25_000, 1)]
     got = advantages.islands(spark.createDataFrame(rows, "pos int, label int"), "pos", F.col("label") == 1)
