@@ -132,13 +132,17 @@ def importance(ratio: Column, sequence_ratio: Column, mode: str, threshold: floa
     }[mode]
 
 
-def islands(rows: DataFrame, order: str, starts: Column, blocks: int = 10_000) -> DataFrame:
+def islands(rows: DataFrame, order: str, starts: Column) -> DataFrame:
     """Rows with the number of starts up to them (0 before the first), in order.
 
-    Running counts within ranges of the order column and over the ranges' totals: no task sees all rows.
+    Running counts within ranges of the order column, as many rows in each as there are ranges,
+    and over the ranges' totals: no task sees all rows.
     """
-    live = rows.withColumn("_b", F.floor(F.col(order) / blocks)).withColumn("_s", F.when(starts, 1).otherwise(0))
+    n, lo, hi = rows.agg(F.count("*"), F.min(order), F.max(order)).first()
+    blocks = max(1, int(n**0.5) // 100)
+    width = max(1.0, (float(hi or 0) - float(lo or 0) + 1) / blocks)
+    live = rows.withColumn("_b", F.floor((F.col(order) - F.lit(lo or 0)) / width)).withColumn("_s", F.when(starts, 1).otherwise(0))
     totals = live.groupBy("_b").agg(F.sum("_s").alias("_t"))
-    before = totals.select(F.col("_b"), (F.sum("_t").over(W.orderBy("_b")) - F.col("_t")).alias("_before"))
+    before = totals.select(F.col("_b"), (F.sum("_t").over(W.orderBy("_b")) - F.col("_t")).alias("_before"))  # at most `blocks` rows
     inner = F.sum("_s").over(W.partitionBy("_b").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
     return live.withColumn("_i", inner).join(before, "_b").withColumn("island", F.col("_i") + F.col("_before")).drop("_b", "_s", "_i", "_before")

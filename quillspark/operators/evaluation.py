@@ -47,6 +47,23 @@ def order_statistics(rows: DataFrame, by: list[str], value: str, ranks: dict[str
     return found.groupBy(*by, "n").agg(*(F.max(F.when(F.col("name") == name, F.col("_x"))).alias(name) for name in ranks))
 
 
+def average_ranks(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """Rows with r: the rank (from 1) of the value within the group, equal values sharing the mean of theirs.
+
+    Equal values are counted first; their ranks are running counts within 256 ranges of a group,
+    whose edges are approximate quantiles, and over the ranges' counts.
+    """
+    counts = rows.groupBy(by, value).agg(F.count("*").alias("_n"))
+    edges = counts.groupBy(by).agg(F.percentile_approx(value, F.array(*(F.lit(i / 256) for i in range(1, 256))), 2560).alias("_q"))
+    block = F.aggregate("_q", F.lit(0), lambda a, q: a + F.when(F.col(value) > q, 1).otherwise(0))
+    live = counts.join(edges, by).select(by, value, "_n", block.alias("_b"))
+    totals = live.groupBy(by, "_b").agg(F.sum("_n").alias("_t"))
+    before = totals.select(by, "_b", (F.sum("_t").over(W.partitionBy(by).orderBy("_b")) - F.col("_t")).alias("_before"))  # at most 256 rows a group
+    inner = F.sum("_n").over(W.partitionBy(by, "_b").orderBy(value)) - F.col("_n")
+    ranks = live.withColumn("_i", inner).join(before, [by, "_b"]).select(by, value, (F.col("_before") + F.col("_i") + (F.col("_n") + 1) / 2.0).alias("r"))
+    return rows.join(ranks, [by, value])
+
+
 def numeric_summary(rows: DataFrame, by: list[str], value: str, prefix: str) -> DataFrame:
     """by, and the sum, mean, exact percentiles by linear interpolation, and max of each group; 0 where there is no value."""
     sums = rows.groupBy(*by).agg(F.sum(value).alias("_sum"), F.avg(value).alias("_mean"), F.max(value).alias("_max"))

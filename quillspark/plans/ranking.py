@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import vectors
 from quillspark.operators.advantages import islands
+from quillspark.operators.evaluation import average_ranks
 from quillspark.operators.relations import table
 from quillspark.plans.registry import query
 
@@ -29,15 +30,23 @@ def paired_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("pair", "gold", *((F.round(c, 6) + 0.0).alias(c) for c in ("cosine", "dot", "euclidean", "manhattan")))
 
 
-@query("similarity_correlation", f"""with {_E}, {_SIM}, k as (select *, rank() over (order by cosine) + (count(*) over (partition by cosine) - 1) / 2.0 as rc, rank() over (order by gold) + (count(*) over (partition by gold) - 1) / 2.0 as rg from s)
-select round(corr(cosine, gold), 6) as pearson, round(corr(rc, rg), 6) as spearman, count(*) as pairs from k""")
+_KINDS = ["cosine", "dot", "euclidean", "manhattan"]
+
+
+@query("similarity_correlation", f"with {_E}, {_SIM}, k as (select *, " + ", ".join(f"rank() over (order by {c}) + (count(*) over (partition by {c}) - 1) / 2.0 as r_{c}" for c in [*_KINDS, "gold"]) + " from s) select " + ", ".join(f"round(corr({c}, gold), 6) as pearson_{c}, round(corr(r_{c}, r_gold), 6) as spearman_{c}" for c in _KINDS) + ", count(*) as pairs from k")
 def similarity_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pearson and Spearman agreement of similarity and label; average ranks come from counts of equal values."""
-    s = _pairs(spark, sf_dir).select("cosine", "gold")
-    for c in ("cosine", "gold"):
-        ranks = s.groupBy(c).agg(F.count("*").alias("n")).select(c, F.expr(f"sum(n) over (order by {c}) - n + (n + 1) / 2.0").alias(f"r_{c}"))
-        s = s.join(ranks, c)
-    return s.agg(F.round(F.corr("cosine", "gold"), 6).alias("pearson"), F.round(F.corr("r_cosine", "r_gold"), 6).alias("spearman"), F.count("*").alias("pairs"))
+    """Pearson and Spearman agreement of each similarity and the label.
+
+    Ranks come from counts of equal values, numbered within ranges of the value and over the
+    ranges' counts, so that no task puts all pairs in order.
+    """
+    s = _pairs(spark, sf_dir).select("pair", *_KINDS, "gold")
+    # one row for each pair and measure, so that all ranks are taken in one go
+    values = s.select("pair", F.inline(F.array(*(F.struct(F.lit(c).alias("kind"), F.col(c).cast("double").alias("v")) for c in [*_KINDS, "gold"]))))
+    ranked = average_ranks(values, "kind", "v")
+    wide = ranked.groupBy("pair").agg(*(F.max(F.when(F.col("kind") == c, F.col(x))).alias(f"{p}{c}") for c in [*_KINDS, "gold"] for x, p in (("v", ""), ("r", "r_"))))
+    both = [x for c in _KINDS for x in (F.round(F.corr(c, "gold"), 6).alias(f"pearson_{c}"), F.round(F.corr(f"r_{c}", "r_gold"), 6).alias(f"spearman_{c}"))]
+    return wide.agg(*both, F.count("*").alias("pairs"))
 
 
 @query("contrastive_loss", f"with {_E}, {_SIM} select round(avg(0.5 * (gold * (1 - cosine) * (1 - cosine) + (1 - gold) * pow(greatest(0.5 - (1 - cosine), 0), 2))), 6) as contrastive, round(avg((cosine - gold) * (cosine - gold)), 6) as cosine_mse from s")

@@ -50,17 +50,21 @@ def read_annotations(spark: SparkSession, folder: str, schema: Schema) -> DataFr
 
 
 def read_table(spark: SparkSession, path: str, schema: Schema | None = None) -> DataFrame:
-    """A table by its file's ending: csv, tsv, txt, json, jsonl, parquet, orc.  Empty strings of csv stay empty strings."""
+    """A table by its file's ending: csv, tsv, txt, json, jsonl, parquet, orc.
+
+    Csv and tsv without a schema are all strings; an empty field is an empty string, and so is a
+    missing one of a short row.  Json needs a schema.
+    """
     kind = re.sub(r".*\.", "", path.rstrip("/*")).lower()
     reader = spark.read.schema(schema) if schema is not None and kind not in ("txt", "text") else spark.read
     if kind in ("csv", "tsv"):
-        return reader.options(header=True, sep="\t" if kind == "tsv" else ",", nullValue="\x00", emptyValue="", multiLine=True, escape='"').csv(path).fillna("")
+        return reader.options(header=True, sep="\t" if kind == "tsv" else ",", nullValue="\x00", emptyValue="", multiLine=True, escape='"').csv(path).fillna("")  # text has no other null: an empty field is not told from an empty string
     if kind in ("txt", "text"):
         return reader.text(path)
-    if kind == "json":
-        return reader.option("multiLine", True).json(path)
-    if kind in ("jsonl", "ndjson"):
-        return reader.json(path)
+    if kind in ("json", "jsonl", "ndjson"):
+        if schema is None:
+            raise ValueError("json is read with a schema")
+        return reader.option("multiLine", kind == "json").json(path)
     if kind in ("parquet", "orc"):
         return reader.format(kind).load(path)
     raise ValueError(f"no reader for {path}")
@@ -88,11 +92,14 @@ def append(df: DataFrame, path: str, kind: str = "json") -> None:
     df.write.mode("append").format(kind).save(path)
 
 
-def markdown(df: DataFrame, most: int = 200) -> str:
-    """A small report table."""
+def markdown(df: DataFrame, most: int = 10_000) -> str:
+    """A report table; one of more than `most` rows is no report and an error."""
     cell = lambda v: "" if v is None else f"{v:.2f}" if isinstance(v, float) else str(v).replace("|", "\\|")
     lines = [f"| {' | '.join(df.columns)} |", f"|{'---|' * len(df.columns)}"]
-    return "\n".join([*lines, *(f"| {' | '.join(map(cell, r))} |" for r in df.limit(most).collect())])
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    return "\n".join([*lines, *(f"| {' | '.join(map(cell, r))} |" for r in rows)])
 
 
 @dataclass(frozen=True)

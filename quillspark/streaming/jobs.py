@@ -39,24 +39,36 @@ PACKED = "shard bigint, pack bigint, ids array<bigint>, length bigint"
 def pack_stream(stream: DataFrame, capacity: int) -> DataFrame:
     """Packs of at most `capacity` tokens for each shard, next fit: what doesn't fill one is carried over to the next batch.
 
-    stream: shard, id, length.  The state of a shard is one open pack; a longer row is a pack of its own.
+    stream: shard, id, length.  The state of a shard is one open pack; a longer row is a pack of
+    its own.  A row without an id ends its shard: the open pack comes out, and the next starts anew.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         ids, total, number = state.get if state.exists else ([], 0, 0)
-        ids, out = list(ids), []
+        ids, out, ended = list(ids), [], False
         for rows in batches:
+            ended |= bool(rows["id"].isna().any())
+            rows = rows[rows["id"].notna()]
             for i, n in zip(rows["id"].tolist(), rows["length"].tolist(), strict=True):
                 if ids and total + n > capacity:
                     out.append((key[0], number, ids, total))
                     ids, total, number = [], 0, number + 1
-                ids, total = [*ids, i], total + n
+                ids.append(int(i))
+                total += int(n)
+        if ended and ids:
+            out.append((key[0], number, ids, total))
+            ids, total, number = [], 0, number + 1
         state.update((ids, total, number))
         yield pd.DataFrame(out, columns=["shard", "pack", "ids", "length"])
 
     return stream.groupBy("shard").applyInPandasWithState(step, PACKED, "ids array<bigint>, total bigint, number bigint", "append", GroupStateTimeout.NoTimeout)
 
 
+def ends(rows: DataFrame) -> DataFrame:
+    """One row without an id for each shard, to be written behind the last rows of a stream that ends."""
+    return rows.select("shard").distinct().select("shard", F.lit(None).cast("bigint").alias("id"), F.lit(0).cast("bigint").alias("length"))
+
+
 def windowed_counts(stream: DataFrame) -> DataFrame:
     """Events of each type in five-minute windows, ten minutes late at most (an extension; the batch form is a query)."""
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "10 minutes").groupBy(F.window("ts", "5 minutes"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))

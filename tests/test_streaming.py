@@ -15,16 +15,22 @@ def test_log_and_latest(spark, tmp_path):
     assert [r.id for r in jobs.pending(spark.range(1, 5), jobs.current(spark, log, "id", "seq"), "id").orderBy("id").collect()] == [3, 4]
 
 
-def test_packing_carries_over(spark, tmp_path):
-    src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    spark.createDataFrame([(i % 2, i, 3 + i % 4) for i in range(40)], "shard bigint, id bigint, length bigint").repartition(4).write.parquet(src)
-    stream = spark.readStream.schema("shard bigint, id bigint, length bigint").option("maxFilesPerTrigger", 1).parquet(src)
-    q = jobs.pack_stream(stream, 12).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).option("path", out).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    packs = spark.read.parquet(out).collect()
-    seen = [i for p in packs for i in p.ids]
-    assert len(seen) == len(set(seen)) and all(p.length <= 12 for p in packs)
-    assert 40 - len(seen) <= 2 * 4  # each shard's open pack is still carried
+def test_packing_carries_over_and_ends(spark, tmp_path):
+    src, out, schema = str(tmp_path / "in"), str(tmp_path / "out"), "shard bigint, id bigint, length bigint"
+    rows = spark.createDataFrame([(i % 2, i, 3 + i % 4) for i in range(40)], schema)
+    rows.repartition(4).write.parquet(src)
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        jobs.pack_stream(stream, 12).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).option("path", out).trigger(availableNow=True).start().awaitTermination(120)
+        return spark.read.parquet(out).collect()
+
+    seen = [i for p in run() for i in p.ids]
+    assert len(seen) == len(set(seen)) and 0 < 40 - len(seen) <= 2 * 4  # each shard's open pack is still carried
+    jobs.ends(rows).coalesce(1).write.mode("append").parquet(src)
+    packs = run()
+    assert sorted(i for p in packs for i in p.ids) == list(range(40)) and all(p.length <= 12 for p in packs)
+    assert len({(p.shard, p.pack) for p in packs}) == len(packs)
 
 
 def test_windows(spark, tmp_path):
