@@ -107,6 +107,20 @@ def with_text(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.append_column("text", pc.struct_field(batch.column("_row"), "text"))
 
 
+#: Parts that the rows of each key are dealt to where few keys may hold most rows.
+SALTS = 8
+
+
+def spread(rows: DataFrame, by: str) -> DataFrame:
+    """Rows with `_salt`, a part by a hash of a column."""
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+
+
+def copies(rows: DataFrame) -> DataFrame:
+    """Each row once for every `_salt`: the side that meets spread() rows."""
+    return rows.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 #: A key with more than this share of all rows is hot; there are at most so many.
 MOST_HOT = 4096
 

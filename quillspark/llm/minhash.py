@@ -19,10 +19,14 @@ The number of pivots grows 64-fold each round, and a pivot that has been held ag
 bucket is spent, so every pair of a bucket is tested, already connected, or ruled out: the
 shingles that a set shares with no other set bound its similarity to any.
 
+A bucket may hold any share of all rows: its members are dealt to `SALTS` tasks where they
+meet its pivots.
+
 Edge cases: null or empty text has an empty set and links with nothing; a text with fewer
-words than a shingle is one shingle; rows that share a doc_id share its component; a null
-doc_id links with nothing and has a null component, and is kept; empty tables give empty
-results; extra columns are not looked at.
+words than a shingle is one shingle; very long texts are read whole, in time linear in their
+length; of a component the least doc_id is kept; rows that share a doc_id share its
+component; a null doc_id links with nothing and has a null component, and is kept; empty
+tables give empty results; extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -36,10 +40,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.llm import words
-from quillspark.llm.common import drop, save, ship, slices, table
+from quillspark.llm.common import copies, drop, save, ship, slices, spread, table
 
 BANDS, ROWS = 32, 5
-#: Sets with more rare shingles than this may be named with one partner in several buckets.
+#: Sets with more rare shingles than this may be named with one partner in several buckets, which costs a test again and loses no link.
 EARLIER_KEPT = 96
 
 _ROUND_KEYS: dict[int, np.ndarray] = {}
@@ -197,7 +201,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, per: int = 80, of: int = 100
         rank = F.col("u") * (1 << 20) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
         chosen = open_.groupBy("band", slot.alias("slot")).agg(F.min_by(F.struct("doc_id", "n", "u", "comp", "earlier", "place"), rank).alias("p"))
         chosen = save(chosen.selectExpr("band", "p.doc_id as pivot", "p.n as m", "p.u as v", "p.comp as pcomp", "p.earlier as pearlier", "p.place as pplace"), "pivots")
-        pairs = open_.join(chosen, "band").where(f"doc_id <> pivot and comp <> pcomp and {possible} and coalesce(not arrays_overlap(earlier, pearlier), true) and {reach}")
+        pairs = spread(open_, "doc_id").join(copies(chosen), ["band", "_salt"]).where(f"doc_id <> pivot and comp <> pcomp and {possible} and coalesce(not arrays_overlap(earlier, pearlier), true) and {reach}")
         pairs = pairs.select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
         for old in tested:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
@@ -242,14 +246,14 @@ def _prefixes(rows: DataFrame, sets: DataFrame, per: int, of: int) -> DataFrame:
     most = F.col("n") - F.ceil(F.col("n") * per / of) + 1
     kept = shared.select("band", "doc_id", "n", "u", "comp", place.alias("place"), most.alias("most")).where("coalesce(place <= most, true)")
     # the rarer shingles of the same set, by which a pair is named in the first bucket that it shares and in no other; long sets go without
-    before = F.collect_list("band").over(W.partitionBy("doc_id").orderBy("place").rowsBetween(W.unboundedPreceding, -1))
+    before = F.collect_list(F.when(F.col("most") <= EARLIER_KEPT, F.col("band"))).over(W.partitionBy("doc_id").orderBy("place").rowsBetween(W.unboundedPreceding, -1))
     return kept.select("band", "doc_id", "n", "u", "comp", F.when(F.col("most") <= EARLIER_KEPT, before).alias("earlier"), F.when(F.col("n").isNotNull(), F.col("place").cast("bigint")).alias("place"))
 
 
 def _unsettled(rows: DataFrame) -> DataFrame:
     """The rows of bands with more than one component."""
     mixed = rows.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-    return rows.join(mixed, "band", "left_semi")
+    return spread(rows, "doc_id").join(copies(mixed), ["band", "_salt"], "left_semi").drop("_salt")
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
