@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import ship, table
 
 #: Words kept by each worker, and pairs in its compatibility table.
-WORDS_KEPT, PAIRS_KEPT = 400_000, 1_000_000
+WORDS_KEPT, PAIRS_KEPT = 700_000, 1_000_000
 
 #: Words as the vocabulary's pre-tokenizer has them, for texts of ASCII.
 _WORD_ASCII = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|(?:[^\s0-9a-z]|[\x1c-\x1f])+""")
