@@ -10,15 +10,18 @@ the next phrase, with a flag; so parsing is one table look-up for each letter, a
 slice of documents is parsed in step, in segments of 512 letters (every segment of every
 document; a segment's end ends a phrase, for each language alike).
 
-Learning takes a bounded sample: `SAMPLE_ROWS` rows for each language, chosen by a hash of
-doc_id, of at most `SAMPLE_LONGEST` characters each, until `SAMPLE_LETTERS` letters
-(`ALL_LETTERS` over all languages) are there.  A language whose texts are all longer is
-learned from so many characters of them, from their first letter on.  All documents are
-scored whole.
-
-Edge cases: a null text, or one without a letter, is `und` with score 0; rows without a
-lang or letter teach nothing; if no row can teach, every document is `und`; repeated rows are scored
-each; an empty table gives an empty result; extra columns are not looked at.
+Learning takes a bounded sample: about `SAMPLE_ROWS` rows for each language, chosen by a hash
+of doc_id, of at most `SAMPLE_LONGEST` characters each, until `SAMPLE_LETTERS` letters
+(`ALL_LETTERS` over all languages, for which twice as many letters and spaces are kept) are
+there: an automaton holds one language's sample whole in each worker, so its size is bounded.
+A language whose texts are all longer is learned from so many characters of them, from their
+first letter on.  All documents are scored whole.
+
+Edge cases: a null text, or one without a letter, is `und` with score 0; very long texts are
+parsed whole, in segments; rows without a lang or letter teach nothing; if no row can teach,
+every document is `und`; rows that share a doc_id, and repeated rows, are scored each; a null
+doc_id is scored like any other; an empty table gives an empty result; extra columns are not
+looked at.
 """
 
 from __future__ import annotations
