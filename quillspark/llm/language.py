@@ -5,10 +5,9 @@ A document is parsed against each: a phrase is the longest match from where the
 ended, or one unknown letter.  Text of the automaton's own language needs few phrases, so
 the language with the fewest phrases per letter wins (ties: the first by name).
 
-Automata are transition tables in which a missing transition already leads to the start of
-the next phrase, with a flag; so parsing is one table look-up for each letter, and a whole
-slice of documents is parsed in step, in segments of 512 letters (every segment of every
-document; a segment's end ends a phrase, for each language alike).
+A whole slice of documents is parsed in step, a letter of each at a time, in segments of 512
+letters (every segment of every document; a segment's end ends a phrase, for each language
+alike).  A letter or space that a language's sample lacks is a phrase of its own there.
 
 Learning takes a bounded sample: about `SAMPLE_ROWS` rows for each language, chosen by a hash
 of doc_id, of at most `SAMPLE_LONGEST` characters each, until `SAMPLE_LETTERS` letters
@@ -39,7 +38,6 @@ from quillspark.llm.common import ship, slices, table
 SAMPLE_ROWS, SAMPLE_LONGEST, SAMPLE_LETTERS, ALL_LETTERS = 120, 20_000, 40_000, 400_000
 SEGMENT = 512
 SHARPNESS = 40.0  # how fast a language's share in the score falls with its phrases per letter
-_FLAG = np.int32(-(1 << 31))
 
 
 def _letter_table() -> np.ndarray:
@@ -107,33 +105,66 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return to
 
 
+class Parser:
+    """A language's automaton as one array of transitions, in which the states' rows overlap.
+
+    The transition of a state by a code lies at the state's base + code, with the state that
+    owns the place beside it, so that memory grows with the transitions (at most three for
+    each letter of the sample), whatever the number of letters in the script.
+    """
+
+    def __init__(self, codes: list[int], size: int):
+        to = suffix_automaton(codes)
+        self.base = np.full(len(to), size, np.int64)
+        free = np.ones(4 * size + 2 * sum(map(len, to)), bool)
+        free[:size] = False  # so that no base is less than 0
+        begin, before, width = size, 0, 64
+        for s in sorted(range(len(to)), key=lambda s: -len(to[s])):
+            own = np.array(sorted(to[s]), np.int64)
+            if not len(own):
+                continue
+            if len(own) != before:  # what is too full for many transitions has room for fewer
+                begin, before = size, len(own)
+            while True:
+                if begin + width + size >= len(free):
+                    free = np.append(free, np.ones(len(free), bool))
+                at = np.arange(begin, begin + width)
+                fits = free[at]
+                fits[fits] = free[at[fits][:, None] + (own - own[0])].all(1)
+                if fits.any():
+                    begin += int(fits.argmax())
+                    break
+                begin += width
+            self.base[s] = begin - own[0]
+            free[self.base[s] + own] = False
+        self.cells = np.full(int(self.base.max()) + size, np.int64(-1))  # owner << 32 | target; -1: no transition
+        for s, own in enumerate(to):
+            for c, t in own.items():
+                self.cells[self.base[s] + c] = s << 32 | t
+        self.start = np.zeros(size, np.int32)  # the state after a phrase's first letter
+        for c, s in to[0].items():
+            self.start[c] = s
+
+    def step(self, state: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after a letter each, and how many phrases ended: the open one before the letter, and the letter itself if it is unknown."""
+        cell = self.cells[self.base[state] + codes]
+        start = self.start[codes]
+        missed = cell >> 32 != state
+        ended = missed * ((state != 0).astype(np.int8) + (start == 0))
+        return np.where(missed, start, cell & 0xFFFFFFFF).astype(np.int32), ended
+
+
 class Languages:
     """Automata of the languages of a sample {language: text of lower-case letters and spaces}."""
 
     def __init__(self, sample: dict[str, str]):
         self.names = sorted(sample)
         known = sorted(set("".join(sample.values())) - {" "})
-        self.code = np.full(0x10000, 1, np.int32)  # 1: a letter in no sample
-        self.code[0] = 2
+        self.code = np.full(0x10000, 0, np.int32)  # 0: a letter in no sample
+        self.code[0] = 1
         for i, ch in enumerate(known):
-            self.code[ord(ch)] = 3 + i
-        self.size = 3 + len(known)  # code 0: past the end of a segment
-        self.tables = [self._table([int(self.code[ord(c) if c != " " else 0]) for c in sample[name]]) for name in self.names]
-
-    def _table(self, codes: list[int]) -> np.ndarray:
-        """State * size + code -> next state * size, negative where a phrase ends before the letter."""
-        to = suffix_automaton(codes)
-        begin = np.full(self.size, _FLAG, np.int32)
-        for c, s in to[0].items():
-            begin[c] = np.int32(s * self.size) | _FLAG
-        out = np.tile(begin, (len(to), 1))
-        out[0] = begin & ~_FLAG  # at the start no phrase is open
-        out[0, 1] = _FLAG  # an unknown letter is a phrase of its own
-        for s, own in enumerate(to):
-            for c, t in own.items():
-                out[s, c] = t * self.size
-        out[:, 0] = np.where(np.arange(len(to)) > 0, _FLAG, np.int32(0))
-        return out.ravel()
+            self.code[ord(ch)] = 2 + i
+        self.parsers = [Parser([int(self.code[ord(c) if c != " " else 0]) for c in sample[name]], 2 + len(known)) for name in self.names]
 
     def phrases(self, low: np.ndarray, upto: np.ndarray) -> np.ndarray:
         """Phrases of each row (of letters() offsets) for each language."""
@@ -145,18 +176,17 @@ class Languages:
         most = np.minimum(lengths[row] - number * SEGMENT, SEGMENT)
         order = np.argsort(-most, kind="stable")
         row, first, most = row[order], first[order], most[order]
-        codes = np.append(self.code[low], 0)
+        codes = self.code[low]
         out = np.zeros((len(lengths), len(self.names)), np.int64)
         live = np.searchsorted(-most, -np.arange(SEGMENT), side="left")  # segments with more letters than so many
         steps = [codes[first[: live[j]] + j] for j in range(SEGMENT) if live[j]]
-        for k, table_ in enumerate(self.tables):
+        for k, parser in enumerate(self.parsers):
             state = np.zeros(len(row), np.int32)
             ended = np.zeros(len(row), np.int64)
             for own in steps:
                 n = len(own)
-                e = table_[state[:n] + own]
-                ended[:n] += e < 0
-                state[:n] = e & ~_FLAG
+                state[:n], more = parser.step(state[:n], own)
+                ended[:n] += more
             ended += state != 0
             np.add.at(out[:, k], row, ended)
         return out

@@ -443,21 +443,50 @@ def test_language_of_signs_beyond_the_basic_plane_and_of_long_texts(spark):
     assert got[12].lang_pred != "und" and got[12].score > 0
 
 
+def phrase_count(text, doc):
+    n = i = 0
+    while i < len(doc):
+        k = 1
+        while i + k < len(doc) and doc[i : i + k + 1] in text:
+            k += 1
+        n, i = n + 1, i + k
+    return n
+
+
+def lettered(doc):
+    data = np.frombuffer(doc.encode(), np.uint8)
+    return language.letters(data, np.array([0, len(data)]))
+
+
 def test_cross_parsing_counts_phrases():
-    import numpy as np
+    rnd = random.Random(6)
+    sample = {"x": "the cat sat on the mat", "y": "быстрая лиса на собаке", "z": "tat hat", "one": "tttt"}
+    docs = ["the mat", "catsat", "zzz the", "zthez", "onthe", "s", "лиса", "the лиса sat", "qлq", "юю ю"]
+    docs += ["".join(rnd.choice("thecasonm лиqю") for _ in range(rnd.randrange(1, 200))) for _ in range(40)]
+    own = language.Languages(sample)
+    for doc in docs:
+        low, upto = lettered(doc)
+        if len(low):
+            t = "".join(chr(c) if c else " " for c in low.tolist())
+            assert own.phrases(low, upto)[0].tolist() == [phrase_count(sample[n], t) for n in own.names], doc
+
+
+def test_language_of_another_script(spark):
+    sample = {"en": "the quick brown fox jumps over the lazy dog", "ru": "быстрая коричневая лиса прыгает через собаку"}
+    rows = [(1, "быстрая собака", "ru"), (2, "over the fox", "en"), (3, "лиса", "ru"), (4, "x", "en")]
+    got = language.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), sample).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {i: lang for i, _, lang in rows}
 
-    text = "the cat sat on the mat"
-    own = language.Languages({"x": text})
-    for doc in ("the mat", "catsat", "zzz the", "onthe", "s"):
-        data = np.frombuffer(doc.encode(), np.uint8)
-        low, upto = language.letters(data, np.array([0, len(data)]))
-        n, i, t = 0, 0, "".join(chr(c) if c else " " for c in low.tolist())
-        while i < len(t):
-            k = 1
-            while i + k < len(t) and t[i : i + k + 1] in text:
-                k += 1
-            n, i = n + 1, i + k
-        assert own.phrases(low, upto)[0, 0] == n, doc
+
+def test_language_tables_grow_with_the_sample_not_the_script():
+    rnd = random.Random(8)
+    script = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)]
+    text = "".join(rnd.choice(script) for _ in range(40_000))
+    own = language.Languages({"many": text, "few": "the cat sat on the mat"})
+    assert sum(p.cells.nbytes + p.base.nbytes for p in own.parsers) < 8_000_000
+    doc = text[500:520] + "the cat" + text[9000:9030]
+    low, upto = lettered(doc)
+    assert own.phrases(low, upto)[0].tolist() == [phrase_count("the cat sat on the mat", doc), phrase_count(text, doc)]
 
 
 def test_perspectives(spark):
