@@ -206,7 +206,7 @@ def learn(docs: DataFrame, learnable: str) -> dict[str, str]:
     for lang, n in counts.items():
         chance = F.when(F.col("lang") == lang, F.lit(min(1.0, SAMPLE_ROWS / n))).otherwise(chance)
     order = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(10)), F.lit(1 << 40)) / float(1 << 40)
-    picked = rows.withColumn("_order", order).where(F.col("_order") < chance).select("lang", "text", "_order", "doc_id").limit(4 * SAMPLE_ROWS * len(counts))
+    picked = rows.withColumn("_order", order).where(F.col("_order") < chance).select("lang", "text", "_order", "doc_id").orderBy("_order", "doc_id", "text").limit(4 * SAMPLE_ROWS * len(counts))
     texts: dict[str, list[str]] = {lang: [] for lang in counts}
     size = dict.fromkeys(counts, 0)
     most = min(SAMPLE_LETTERS, ALL_LETTERS // len(counts))
