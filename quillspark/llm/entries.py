@@ -16,6 +16,7 @@ from quillspark.llm.packing import op3_packing
 from quillspark.llm.perspectives import OP9_SQL, op9_perspectives
 from quillspark.llm.quality_knn import op7_quality_knn
 from quillspark.llm.quality_rules import op2_quality_rules
+from quillspark.llm.runs import op13_periodic_runs
 from quillspark.llm.substrings import op6_substrings
 from quillspark.llm.toxicity import op8_toxicity
 from quillspark.llm.warc import OP12_SQL, op12_warc
@@ -23,7 +24,7 @@ from quillspark.llm.warc import OP12_SQL, op12_warc
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query by name."""
-    own = [op1_bpe, op2_quality_rules, op3_packing, op4_minhash, op5_fingerprints, op6_substrings, op7_quality_knn, op8_toxicity, op9_perspectives, op10_language, op11_hard_negatives, op12_warc]
+    own = [op1_bpe, op2_quality_rules, op3_packing, op4_minhash, op5_fingerprints, op6_substrings, op7_quality_knn, op8_toxicity, op9_perspectives, op10_language, op11_hard_negatives, op12_warc, op13_periodic_runs]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
