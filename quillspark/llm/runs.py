@@ -61,13 +61,13 @@ class Wavelet:
         return np.where(ones, self.ones.shape[1] - 1 - self.ones[level, -1] + before, at - before)
 
     def less(self, lo: np.ndarray, hi: np.ndarray, than: np.ndarray) -> np.ndarray:
-        count = np.zeros(len(lo), np.int64)
+        count, all_of_them = np.zeros(len(lo), np.int64), hi - lo
         for level in range(self.bits):
             bit = (than >> (self.bits - 1 - level) & 1).astype(bool)
             zeros = (hi - lo) - (self.ones[level, hi] - self.ones[level, lo])
             count += np.where(bit, zeros, 0)
             lo, hi = self._down(level, lo, bit), self._down(level, hi, bit)
-        return np.where(than >> self.bits > 0, count + (hi - lo), count)
+        return np.where(than >> self.bits > 0, all_of_them, count)
 
     def kth(self, lo: np.ndarray, hi: np.ndarray, k: np.ndarray) -> np.ndarray:
         value = np.zeros(len(lo), np.int64)
