@@ -61,7 +61,7 @@ def shared_dir(spark: SparkSession) -> str:
 _LEFT: dict[str, DataFrame] = {}  # what is still to be deleted, by path
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+def save(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
 
     drop() deletes it; what a result still reads is deleted when the program ends.
@@ -69,7 +69,7 @@ def save(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     del df
     gc.collect()
     spark._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of finished jobs

@@ -8,7 +8,7 @@ text writer puts the bytes into the given folder, so a lost executor leaves no h
 It ends each line by a separator; the separator here is the last byte of every record, a
 newline, or of a member the zero byte that ends the length of all members below 16 MiB (a
 larger one is followed by an empty member).  Archives are cut by a hash of the rows into parts
-of about ARCHIVE_BYTES.
+of about ARCHIVE_BYTES at most.
 
 Reading: members and plain records are told by their first bytes and checked: the gzip sum,
 the version line, the mandatory fields, the length and the closing blank lines, and both
@@ -101,18 +101,20 @@ def write_archives(pages: DataFrame, path: str, gzipped: bool = True, date: str
     ship(pages.sparkSession)
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     # the writer's rows and the choice of the first ones must see the same numbers of rows
-    rows = save(pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", payload.alias("payload"), F.sha2(payload, 256).alias("key"), F.monotonically_increasing_id().alias("row")), "pages")
+    rows = save(pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", payload.alias("payload"), F.sha2(payload, 256).alias("key"), F.monotonically_increasing_id().alias("row")), "pages", "zstd")
     own = F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(":"), F.col("row").cast("string"))
     size = rows.agg(F.count("*").alias("rows"), F.sum(F.octet_length("payload")).alias("bytes")).first()
     least = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row", own.alias("own"))).alias("least")
     groups = save(rows.groupBy("key").agg(least, F.count("*").alias("n")).where("n > 1").select("key", "n", F.col("least.own").alias("first")), "payloads")
-    # payloads that many pages share are few: their rows stay where they are
+    # payloads that many pages share are few: their rows stay where they are; payloads are moved once, to their archive
     is_hot = F.col("n") * MOST_HOT > size.rows
-    marked = rows.select("*", own.alias("own")).join(F.broadcast(groups.where(is_hot).select("key", F.col("first").alias("hot"))), "key", "left")
-    rest = marked.where("hot is null").join(groups.where(~is_hot).select("key", "first"), "key", "left")
-    whole = marked.where("hot is not null").withColumn("first", F.col("hot")).unionByName(rest).withColumn("first", F.nullif("first", F.col("own")))
-    parts = max(1, -(-(size.bytes or 0) // archive_bytes))
-    lines = whole.select("url", "payload", "own", "first", "row").repartition(parts, F.xxhash64("row")).mapInArrow(_writer(gzipped, date), "line binary")
+    marked = rows.select("row", "key", own.alias("own")).join(F.broadcast(groups.where(is_hot).select("key", F.col("first").alias("hot"))), "key", "left")
+    rest = marked.where("hot is null").join(groups.where(~is_hot).select("key", "first"), "key")
+    firsts = marked.where("hot is not null").withColumn("first", F.col("hot")).unionByName(rest, allowMissingColumns=True).where(F.col("first") != F.col("own")).select("row", "first")
+    # not fewer than Spark joins by, or it would move the payloads again
+    parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(size.bytes or 0) // archive_bytes))
+    whole = rows.select("url", "payload", own.alias("own"), "row").repartition(parts, "row").join(firsts.repartition(parts, "row").hint("shuffle_hash"), "row", "left")
+    lines = whole.select("url", "payload", "own", "first").mapInArrow(_writer(gzipped, date), "line binary")
     lines.select(F.col("line").cast("string")).write.option("lineSep", "\0" if gzipped else "\n").mode("append").text(path)
     drop(groups)
     drop(rows)
