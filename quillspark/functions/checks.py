@@ -6,10 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillspark.functions.labels import strip
+from quillspark.functions.toolcalls import split_parts
 
 # How replies state scores and rewards.
 SCORE_LIST = r'\{\s*"Score"\s*:\s*\[([^\]]*)\]\s*\}'
-REWARD = r"Reward:\s*([-+]?\d*\.?\d+)"
+REWARD = r"Reward:\s*([0-1](?:\.\d+)?)"
+PAREN_CHOICE = r"(?is)\(([A-I])\)\s*(.+?)(?=\s*\([A-I]\)\s*|\z)"
+LINE_CHOICE = r"(?is)(?:^|\n)\s*([A-I])[\)\].:]\s*(.+?)(?=\n\s*[A-I][\)\].:]|\z)"
+FIRST_PAREN = r"(?i)\([A-I]\)"
+FIRST_LINE = r"(?i)(?:^|\n)\s*[A-I][\)\].:]\s+"
+IMAGE_TAG = r"(?i)<\s*image\s*>"
 
 
 def strict_scores(reply: Column, labels: Column) -> Column:
@@ -37,27 +43,77 @@ def token_score(text: Column) -> Column:
 
 
 def reward_number(text: Column) -> Column:
-    """The number behind `Reward:`, null without one."""
+    """The number from 0 to below 2 behind `Reward:` in a reward model's reply, null without one."""
     return F.regexp_extract(text, REWARD, 1).try_cast("double")
 
 
+def graded_reward(text: Column) -> Column:
+    """What stands between the first `Reward:` of a judge's reply and the next, without stars, as a number; 0 if it is none."""
+    found = F.split(F.coalesce(text, F.lit("")), "Reward:", -1)
+    return F.coalesce(F.replace(strip(F.try_element_at(found, F.lit(2))), F.lit("*"), F.lit("")).try_cast("double"), F.lit(0.0))
+
+
+def choice_probability(log0: Column, log1: Column, hard: Column) -> Column:
+    """The chance of a 1 from two log-probabilities; where one is missing the hard label if it is 0 or 1, else minus infinity."""
+    top = F.greatest(log0, log1)
+    both = log0.isNotNull() & log1.isNotNull()
+    return F.when(both, F.exp(log1 - top) / (F.exp(log0 - top) + F.exp(log1 - top))).when(hard.isin(0, 1), hard.cast("double")).otherwise(float("-inf"))
+
+
+def boxed_answers(text: Column) -> Column:
+    """What each `\\boxed{` holds up to the brace that closes it, in order, braces within matched and white space at the ends off; one that is never closed, and what follows it, is none.
+
+    A state machine over the braces: depth, place, where the open one starts, and the spans found.
+    """
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(1).alias("at"), F.lit(0).alias("start"), F.array().cast("array<struct<start: int, length: int>>").alias("spans"))
+
+    def step(s: Column, part: Column) -> Column:
+        key, after = part["key"], s["at"] + F.length(part["key"])
+        opens = (s["depth"] == 0) & (key == "\\boxed{")
+        depth = F.when(opens, 1).when(s["depth"] == 0, 0).when(key == "}", s["depth"] - 1).when(key == "", s["depth"]).otherwise(s["depth"] + 1)
+        closes = (s["depth"] == 1) & (key == "}")
+        span = F.array(F.struct(s["start"].alias("start"), (s["at"] - s["start"]).alias("length")))
+        return F.struct(depth.alias("depth"), (after + F.length(part["content"])).alias("at"), F.when(opens, after).otherwise(s["start"]).alias("start"), F.when(closes, F.concat(s["spans"], span)).otherwise(s["spans"]).alias("spans"))
+
+    spans = F.aggregate(split_parts(F.coalesce(text, F.lit("")), ["\\boxed{", "{", "}"]), zero, step, lambda s: s["spans"])
+    return F.transform(spans, lambda x: strip(F.substring(text, x["start"], x["length"])))
+
+
 def balanced_boxed(text: Column) -> Column:
-    """What the last `\\boxed{` holds up to the brace that closes it, braces within matched; null without one or if it is never closed."""
-    tail = F.substring_index(text, "\\boxed{", -1)
-    seen = F.aggregate(
-        F.split(tail, ""), F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n")),
-        lambda a, c: F.when(a["depth"] == 0, a).otherwise(F.struct((a["depth"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("depth"), (a["n"] + 1).alias("n"))),
-    )
-    return F.when(text.contains("\\boxed{") & (seen["depth"] == 0), F.substring(tail, F.lit(1), seen["n"] - 1))
+    """The last of boxed_answers(), null without one."""
+    return F.try_element_at(boxed_answers(text), F.lit(-1))
+
+
+def _last_of_each(pairs: Column) -> Column:
+    """A map of (k, v) entries of which the last of each k counts."""
+    return F.map_from_entries(F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["k"] == x["k"])))
 
 
 def choices(question: Column) -> Column:
-    """Letter -> text of choices in parentheses, `(A) this (B) that`; white space within a text becomes one blank, and of one letter the first counts."""
-    pattern = r"(?is)\(([A-I])\)\s*(.+?)(?=\s*\([A-I]\)\s*|\z)"
-    found = F.arrays_zip(F.regexp_extract_all(question, F.lit(pattern), F.lit(1)).alias("k"), F.regexp_extract_all(question, F.lit(pattern), F.lit(2)).alias("v"))
-    entries = F.transform(found, lambda x: F.struct(F.upper(x["k"]).alias("k"), F.regexp_replace(strip(x["v"]), r"(?U)\s+", " ").alias("v")))
-    first = F.filter(entries, lambda x, i: ~F.exists(F.slice(entries, 1, i), lambda y: y["k"] == x["k"]))
-    return F.map_from_entries(first)
+    """Letter -> text of choices in parentheses, `(A) this (B) that`, else at the starts of lines, `A. this`.
+
+    Text before the first mark does not count, white space within a choice becomes one blank, and
+    of one letter the last choice counts.
+    """
+    text = F.coalesce(question, F.lit(""))
+    at = lambda pattern: F.nullif(F.regexp_instr(text, F.lit(pattern)), F.lit(0))
+    text = F.substring(text, F.coalesce(F.least(at(FIRST_PAREN), at(FIRST_LINE)), F.lit(1)), F.length(text))
+
+    def found(pattern: str) -> Column:
+        pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("k"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("v"))
+        return F.transform(pairs, lambda x: F.struct(F.upper(x["k"]).alias("k"), F.regexp_replace(strip(x["v"]), r"(?U)\s+", " ").alias("v")))
+
+    paren = found(PAREN_CHOICE)
+    return F.when(F.size(paren) > 0, _last_of_each(paren)).otherwise(_last_of_each(found(LINE_CHOICE)))
+
+
+def image_tags(text: Column, images: Column) -> Column:
+    """A text with as many image tags as there are images: the first stay, further ones become words, and missing ones stand before it on a line of their own."""
+    text = F.coalesce(text, F.lit(""))
+    parts = F.split(text, IMAGE_TAG, -1)
+    marked = F.transform(parts, lambda x, i: F.concat(F.when(i == 0, "").when(i <= images, "<image>").otherwise(" image "), x))
+    missing = images - (F.size(parts) - 1)
+    return F.concat(F.when(missing > 0, F.concat(F.array_join(F.array_repeat(F.lit("<image>"), missing.cast("int")), " "), F.lit("\n"))).otherwise(""), F.array_join(marked, ""))
 
 
 #: What an answer loses before it is compared, in this order (fixed values).
@@ -67,7 +123,7 @@ REMOVED = [
     "square", "ways", "integers", "dollars", "mph", "inches", "hours", "km", "units", "\\ldots", "sue", "points", "feet", "minutes", "digits", "cents", "degrees", "cm", "gm", "pounds", "meters", "meals", "edges", "students",
     "childrentickets", "multiples", "\\text{s}", "\\text{.}", "\\text{\ns}", "\\text{}^2", "\\text{}^3", "\\text{\n}", "\\text{}", "\\mathrm{th}", "^\\circ", "^{\\circ}", "\\;", ",\\!", "{,}", '"', "\\dots",
 ]
-#: TeX that is unwrapped or written out, in this order (fixed values).
+#: TeX that is unwrapped or written out (fixed values); the order is fixed, since a root or fraction may stand in a wrapping that goes first.
 REWRITES = [(r"(.*?)(\$)(.*?)(\$)(.*)", r"\$$3\$"), (r"(\\text\{)(.*?)(\})", "$2"), (r"(\\textbf\{)(.*?)(\})", "$2"), (r"(\\overline\{)(.*?)(\})", "$2"), (r"(\\boxed\{)(.*)(\})", "$2"), (r"(frac)([^{])(.)", "frac{$2}{$3}"), (r"(sqrt)([^{])", "sqrt{$2}")]
 
 

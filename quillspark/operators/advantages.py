@@ -146,3 +146,16 @@ def islands(rows: DataFrame, order: str, starts: Column) -> DataFrame:
     before = totals.select(F.col("_b"), (F.sum("_t").over(W.orderBy("_b")) - F.col("_t")).alias("_before"))  # at most `blocks` rows
     inner = F.sum("_s").over(W.partitionBy("_b").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
     return live.withColumn("_i", inner).join(before, "_b").withColumn("island", F.col("_i") + F.col("_before")).drop("_b", "_s", "_i", "_before")
+
+
+def adaptive_coefficient(rows: DataFrame, by: list[str], order: str, kl: str, steps: str, target: float, horizon: float, start: float) -> DataFrame:
+    """Rows with the coefficient after each update: it is multiplied by 1 + clip(kl / target - 1, -0.2, 0.2) * steps / horizon, which may be zero or negative.
+
+    A running product: the logarithms of the sizes are summed, and the signs and zeros counted.
+    """
+    factor = 1 + F.greatest(F.lit(-0.2), F.least(F.lit(0.2), F.col(kl) / target - 1)) * F.col(steps) / horizon
+    so_far = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    live = rows.withColumn("_f", factor)
+    size = F.exp(F.coalesce(F.sum(F.log(F.nullif(F.abs("_f"), F.lit(0.0)))).over(so_far), F.lit(0.0)))
+    zeros, negative = F.sum(F.when(F.col("_f") == 0, 1).otherwise(0)).over(so_far), F.sum(F.when(F.col("_f") < 0, 1).otherwise(0)).over(so_far)
+    return live.withColumn("coefficient", F.when(zeros > 0, 0.0).otherwise(start * size * F.when(negative % 2 == 0, 1).otherwise(-1))).drop("_f")

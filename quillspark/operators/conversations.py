@@ -63,3 +63,16 @@ def transcript(m: Column) -> Column:
 def drop_last_reply(m: Column) -> Column:
     """Messages up to the last one, if that is the assistant's."""
     return F.when(F.try_element_at(m, F.lit(-1))["role"] == "assistant", F.slice(m, 1, F.size(m) - 1)).otherwise(m)
+
+
+def class_balance(rows: DataFrame, label: str, desirable_weight: float = 1.0, undesirable_weight: float = 1.0) -> DataFrame:
+    """desirable and undesirable (rows of label 1 and of the rest, 1 at least), bounds of each side's weight by the other's, and in_range: whether one weight is within its bounds; no bounds are needed where both sides are equal."""
+    counts = rows.agg(F.greatest(F.coalesce(F.sum(label), F.lit(0)), F.lit(1)).alias("desirable"), F.count("*").alias("_n")).select("desirable", F.greatest(F.col("_n") - F.col("desirable"), F.lit(1)).alias("undesirable"))
+    p, u = F.col("desirable"), F.col("undesirable")
+    bound = lambda x: F.when(p != u, F.bround(x, 2))
+    out = counts.withColumns({
+        "desirable_low": bound(u * F.lit(undesirable_weight) / p), "desirable_high": bound(u * F.lit(undesirable_weight) / p * 1.33),
+        "undesirable_low": bound(p * F.lit(desirable_weight) / u / 1.33), "undesirable_high": bound(p * F.lit(desirable_weight) / u),
+    })
+    within = F.lit(desirable_weight).between(F.col("desirable_low"), F.col("desirable_high")) | F.lit(undesirable_weight).between(F.col("undesirable_low"), F.col("undesirable_high"))
+    return out.withColumn("in_range", F.coalesce(within, F.lit(True)))

@@ -1,3 +1,3 @@
 """Queries; importing this package registers them."""
 
-from quillspark.plans import conversations, evaluation, more, ranking, replies, rl, sampling, supervision  # noqa: F401
+from quillspark.plans import conversations, evaluation, generation, more, ranking, replies, rl, sampling, supervision  # noqa: F401

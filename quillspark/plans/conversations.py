@@ -72,12 +72,16 @@ def kto_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.selectExpr("conv_id", "reply", "coalesce(lag(reply) over (partition by batch order by conv_id), last_value(reply) over (partition by batch order by conv_id rows between unbounded preceding and unbounded following)) as other")
 
 
-@query("class_balance", "select count(*) filter (quality = 1) as desirable, count(*) filter (quality = 0) as undesirable, round_even(greatest(count(*) filter (quality = 0), 1) * 1.0 / greatest(count(*) filter (quality = 1), 1), 2) as low, round_even(greatest(count(*) filter (quality = 0), 1) * 1.33 / greatest(count(*) filter (quality = 1), 1), 2) as high from labels")
+@query(
+    "class_balance",
+    """with l as (select least(quality, 1) as y from labels union all select 1 from conversations where role = 'assistant'), c as (select greatest(coalesce(sum(y), 0), 1) as p, count(*) as n from l), d as (select p, greatest(n - p, 1) as u from c),
+b as (select p as desirable, u as undesirable, case when p <> u then round_even(u * 0.9 / p, 2) end as desirable_low, case when p <> u then round_even(u * 0.9 / p * 1.33, 2) end as desirable_high, case when p <> u then round_even(p * 1.1 / u / 1.33, 2) end as undesirable_low, case when p <> u then round_even(p * 1.1 / u, 2) end as undesirable_high from d)
+select *, coalesce(1.1 between desirable_low and desirable_high or 0.9 between undesirable_low and undesirable_high, true) as in_range from b""",
+)
 def class_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of both classes and bounds of the weight that evens them out."""
-    pos, neg = F.count_if(F.col("quality") == 1), F.count_if(F.col("quality") == 0)
-    ratio = F.greatest(neg, F.lit(1)) / F.greatest(pos, F.lit(1))
-    return table(spark, sf_dir, "labels").agg(pos.alias("desirable"), neg.alias("undesirable"), F.bround(ratio * 1.0, 2).alias("low"), F.bround(ratio * 1.33, 2).alias("high"))
+    """Counts of both classes, bounds of the weights that even them out, and whether one of the given weights is within its own."""
+    rows = table(spark, sf_dir, "labels").select(F.least("quality", F.lit(1)).alias("y")).unionAll(table(spark, sf_dir, "conversations").where("role = 'assistant'").select(F.lit(1)))
+    return op.class_balance(rows, "y", 1.1, 0.9)
 
 
 @query("alpaca_rows", "with p as (select conv_id, max(text) filter (turn = 0) as a, max(text) filter (turn = 1) as b, max(text) filter (turn = 2) as c from conversations group by 1) select conv_id, array_to_string([a, c], chr(10)) as query, b as response from p")

@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import checks
 from quillspark.functions.labels import numbered_steps, question, strip
+from quillspark.operators import layout
+from quillspark.operators.advantages import adaptive_coefficient
 from quillspark.operators.conversations import canonical_role
 from quillspark.operators.relations import SOURCES, STEPS, sources, steps, table
+from quillspark.operators.sampling import numbered
+from quillspark.operators.supervision import hash_order
 from quillspark.plans.registry import query
 
 
@@ -34,26 +38,33 @@ def teacher_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "thinking_checks",
-    "select conv_id, turn, case when turn % 5 = 0 then 'is_ready' when turn % 5 = 1 then 'contains_ready' when length(trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13))) < 40 then 'too_short' else 'ok' end as reason, case when conv_id % 3 = 2 then -2 else cast(conv_id % 3 as int) end as token, case when turn % 2 = 0 then cast(conv_id as double) / 4 end as reward from conversations where not contains(upper(coalesce(text, '')), 'READY')",
+    r"""with t as (select conv_id, turn, case turn % 5 when 0 then ' Ready' || chr(10) when 1 then coalesce(text, '') || ' ready.' else coalesce(text, '') end as x, case when conv_id % 3 = 2 then 'none' else 'is ' || conv_id % 3 || ', not 7' end as token,
+  case when turn % 2 = 0 then 'so Reward: ' || cast(cast(conv_id / 4.0 - 3 as decimal(20, 2)) as varchar) || ' Reward:*' || turn || '*' else 'Reward none' end as reward from conversations), s as (select *, trim(x, ' ' || chr(9) || chr(10) || chr(13)) as y from t)
+select conv_id, turn, case when upper(y) = 'READY' then 'is_ready' when contains(upper(y), 'READY') then 'contains_ready' when length(y) < 40 then 'too_short' else 'ok' end as reason, coalesce(try_cast(nullif(regexp_extract(token, '[01]'), '') as int), -2) as token,
+  try_cast(nullif(regexp_extract(reward, 'Reward:\s*([0-1](?:\.\d+)?)', 1), '') as double) as reward, coalesce(try_cast(replace(trim(split_part(reward, 'Reward:', 2)), '*', '') as double), 0.0) as graded from s""",
 )
 def thinking_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why a thinking text is turned down, and a judge's first token and reward."""
-    rows = table(spark, sf_dir, "conversations").where(~F.upper(F.coalesce("text", F.lit(""))).contains("READY"))
+    """Why a thinking text is turned down, and a judge's first token and both kinds of reward."""
+    rows = table(spark, sf_dir, "conversations")
     text = F.when(F.col("turn") % 5 == 0, " Ready\n").when(F.col("turn") % 5 == 1, F.concat(F.coalesce("text", F.lit("")), F.lit(" ready."))).otherwise(F.col("text"))
     token = F.when(F.col("conv_id") % 3 == 2, "none").otherwise(F.concat(F.lit("is "), (F.col("conv_id") % 3).cast("string"), F.lit(", not 7")))
-    reward = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("so Reward: "), (F.col("conv_id") / 4).cast("decimal(20,2)").cast("string"))).otherwise("Reward none")
-    return rows.select("conv_id", "turn", checks.thinking_reason(text, 40).alias("reason"), checks.token_score(token).alias("token"), checks.reward_number(reward).alias("reward"))
+    reward = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("so Reward: "), (F.col("conv_id") / 4 - 3).cast("decimal(20,2)").cast("string"), F.lit(" Reward:*"), F.col("turn").cast("string"), F.lit("*"))).otherwise("Reward none")
+    return rows.select("conv_id", "turn", checks.thinking_reason(text, 40).alias("reason"), checks.token_score(token).alias("token"), checks.reward_number(reward).alias("reward"), checks.graded_reward(reward).alias("graded"))
 
 
-@query("boxed_nested", "select event_id, case event_id % 4 when 0 then '\\frac{' || user_id || '}{2}' when 1 then cast(user_id as varchar) when 2 then null else null end as answer from events")
+@query(
+    "boxed_nested",
+    r"""select event_id, case event_id % 6 when 0 then '\frac{' || user_id || '}{2}' when 1 then cast(user_id as varchar) when 3 then '1' when 4 then 'x \boxed{' || user_id || '}' when 5 then '' end as answer,
+  case event_id % 6 when 0 then 2 when 1 then 1 when 3 then 1 when 4 then 1 when 5 then 2 else 0 end as boxes from events""",
+)
 def boxed_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxed answers with braces in them; one that is never closed is none."""
-    u, kind = F.col("user_id").cast("string"), F.col("event_id") % 4
+    """The last boxed answer and how many there are, with braces in them; one that is never closed is none, and those before it count."""
+    u, kind = F.col("user_id").cast("string"), F.col("event_id") % 6
     text = (
-        F.when(kind == 0, F.concat(F.lit("so \\boxed{1} and \\boxed{\\frac{"), u, F.lit("}{2}} {end}"))).when(kind == 1, F.concat(F.lit("\\boxed{"), u, F.lit("}")))
-        .when(kind == 2, F.concat(F.lit("\\boxed{{"), u, F.lit("}"))).otherwise(u)
+        F.when(kind == 0, F.concat(F.lit("so \\boxed{1} and \\boxed{ \\frac{"), u, F.lit("}{2} } {end}"))).when(kind == 1, F.concat(F.lit("} \\boxed{"), u, F.lit("}")))
+        .when(kind == 2, F.concat(F.lit("\\boxed{{"), u, F.lit("}"))).when(kind == 3, F.concat(F.lit("\\boxed{1} then \\boxed{ {"), u)).when(kind == 4, F.concat(F.lit("\\boxed{x \\boxed{"), u, F.lit("}}"))).otherwise(F.concat(F.lit("\\boxed{"), u, F.lit("}\\boxed{ }")))
     )
-    return _events(spark, sf_dir).select("event_id", checks.balanced_boxed(text).alias("answer"))
+    return _events(spark, sf_dir).select("event_id", checks.balanced_boxed(text).alias("answer"), F.size(checks.boxed_answers(text)).alias("boxes"))
 
 
 @query("answer_rewards", "select event_id, case when event_id % 5 in (0, 1, 2) and user_id = coalesce(nullif(user_id % 7, 0), user_id) then 1.0::double when event_id % 5 in (0, 1, 2) and user_id % 7 = 0 then 1.0::double else -1.0::double end as reward from events")
@@ -68,11 +79,21 @@ def answer_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select("event_id", checks.answer_reward(said, truth).alias("reward"))
 
 
-@query("choice_maps", "select p_partkey, p_brand as a, regexp_replace(p_type, '\\s+', ' ', 'g') as b, cast(p_size as varchar) as c from part")
+@query(
+    "choice_maps",
+    r"""with q as (select p_partkey, p_partkey % 3 as kind, 'Which (of a) ' || p_name || '? (a) ' || p_brand || chr(10) || ' (B)  ' || replace(p_name, ' ', ' ' || chr(10) || ' ') || ' (C) ' || p_size || chr(10) || '(b) ' || p_type as p,
+  'Which is it:' || chr(10) || 'A. ' || p_brand || '  x' || chr(10) || ' b) ' || p_name || chr(10) || 'C: ' || p_size || chr(10) || 'a] ' || p_type as l from part),
+u as (select p_partkey, unnest(regexp_extract_all(p, '\(([A-Ia-i])\)', 1)) as k, unnest(regexp_split_to_array(p, '\s*\([A-Ia-i]\)\s*')[2:]) as v, generate_subscripts(regexp_extract_all(p, '\([A-Ia-i]\)'), 1) as i from q where kind < 2
+  union all select p_partkey, unnest(regexp_extract_all(l, '\n\s*([A-Ia-i])[).:\]]', 1)), unnest(regexp_split_to_array(l, '\n\s*[A-Ia-i][).:\]]\s*')[2:]), generate_subscripts(regexp_extract_all(l, '\n\s*[A-Ia-i][).:\]]'), 1) from q where kind = 2),
+m as (select p_partkey, upper(k) as k, arg_max(regexp_replace(trim(v, ' ' || chr(10)), '\s+', ' ', 'g'), i) as v from u group by 1, 2)
+select p_partkey, max(v) filter (k = 'A') as a, max(v) filter (k = 'B') as b, max(v) filter (k = 'C') as c from m group by 1""",
+)
 def choice_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Choices read from questions."""
-    q = F.concat(F.lit("Which? (a) "), "p_brand", F.lit("\n (B)  "), F.replace("p_type", F.lit(" "), F.lit(" \n ")), F.lit(" (C) "), F.col("p_size").cast("string"), F.lit("\n"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", checks.choices(q).alias("m"))
+    """Choices read from questions in both styles; a letter may come twice."""
+    size = F.col("p_size").cast("string")
+    p = F.concat(F.lit("Which (of a) "), "p_name", F.lit("? (a) "), "p_brand", F.lit("\n (B)  "), F.replace("p_name", F.lit(" "), F.lit(" \n ")), F.lit(" (C) "), size, F.lit("\n(b) "), "p_type")
+    lines = F.concat(F.lit("Which is it:\nA. "), "p_brand", F.lit("  x\n b) "), "p_name", F.lit("\nC: "), size, F.lit("\na] "), "p_type")
+    rows = table(spark, sf_dir, "part").select("p_partkey", checks.choices(F.when(F.col("p_partkey") % 3 < 2, p).otherwise(lines)).alias("m"))
     return rows.select("p_partkey", *(F.try_element_at("m", F.lit(k)).alias(k.lower()) for k in "ABC"))
 
 
@@ -124,15 +145,15 @@ def class_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("response is not null")
 
 
-@query("image_tags", "select page_id, repeat('<image>', greatest(cast(page_id % 3 - page_id % 4 as int), 0)) || 'see ' || array_to_string(list_transform(range(1, page_id % 4 + 1), lambda i: case when i <= page_id % 3 then '<image>' else ' image ' end || i), ' ') || ' end' as text from pages")
+@query(
+    "image_tags",
+    r"""with t as (select conv_id, turn, (conv_id + turn) % 4 as n, regexp_split_to_array(replace(replace(coalesce(text, ''), 'the', '< Image>'), ' of ', '<image' || chr(10) || '>'), '(?i)<\s*image\s*>') as p from conversations)
+select conv_id, turn, case when n >= len(p) then array_to_string(list_transform(range(n - len(p) + 1), lambda i: '<image>'), ' ') || chr(10) else '' end || p[1] || array_to_string(list_transform(range(2, len(p) + 1), lambda i: case when i - 1 <= n then '<image>' else ' image ' end || p[i]), '') as text from t""",
+)
 def image_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As many image tags as there are images: the first stay, more of them become words, missing ones are put in front."""
-    want, have = (F.col("page_id") % 3).cast("int"), (F.col("page_id") % 4).cast("int")
-    told = F.concat(F.lit("see "), F.array_join(F.transform(F.when(have > 0, F.sequence(F.lit(1), have)).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.lit("<Image>"), i.cast("string"))), " "), F.lit(" end"))
-    parts = F.split(told, "(?i)<image>")
-    joined = F.array_join(F.transform(parts, lambda x, i: F.concat(F.when(i == 0, "").when(i <= want, "<image>").otherwise(" image "), x)), "")
-    missing = F.greatest(want - (F.size(parts) - 1), F.lit(0))
-    return table(spark, sf_dir, "pages").select("page_id", F.concat(F.repeat(F.lit("<image>"), missing), joined).alias("text"))
+    """Texts in which tags of images stand in place of common words, put right for a number of images."""
+    told = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("the"), F.lit("< Image>")), F.lit(" of "), F.lit("<image\n>"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", checks.image_tags(told, (F.col("conv_id") + F.col("turn")) % 4).alias("text"))
 
 
 @query("media_parts", "select conv_id, turn, coalesce(text, '') || case when turn % 2 = 1 then '<image>' else '' end || case when turn % 3 = 0 then '<audio>' else '' end as content, case when turn % 2 = 1 then 'i' || conv_id else '' end as images, case when turn % 3 = 0 then 'a' || conv_id else '' end as audios from conversations")
@@ -147,26 +168,29 @@ def media_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", text.alias("content"), of("image").alias("images"), of("audio").alias("audios"))
 
 
-@query("batch_repeat", "with n as (select count(*) as n from customer) select c_custkey, k as copy, (c_custkey - (select min(c_custkey) from customer)) * 3 + k as interleaved, k * n + c_custkey - (select min(c_custkey) from customer) as tiled from customer, n, (values (0), (1), (2)) t(k)")
+@query(
+    "batch_repeat",
+    """with s as (select o_orderkey, row_number() over (order by o_custkey, o_orderkey) - 1 as place, count(*) over () as n from orders)
+select o_orderkey, k as copy, place * 3 + k as interleaved, k * n + place as tiled, place // 5 as fold, place % 5 as at, place // 64 as split from s, (values (0), (1), (2)) t(k)""",
+)
 def batch_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each row three times, with its places when copies stand together and when the whole recurs."""
-    rows = table(spark, sf_dir, "customer").select("c_custkey")
-    first, n = rows.agg(F.min("c_custkey"), F.count("*")).first()
-    each = rows.select("c_custkey", F.explode(F.array(*map(F.lit, range(3)))).alias("copy"))
-    place = F.col("c_custkey") - F.lit(first)
-    return each.select("c_custkey", "copy", (place * 3 + F.col("copy")).alias("interleaved"), (F.col("copy") * F.lit(n) + place).alias("tiled"))
+    """Each row three times, with its places when copies stand together and when the whole recurs, and the row and column of its place in rows of five."""
+    rows = layout.placed(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey", ["o_orderkey"])
+    out = layout.folded(layout.repeated(rows, 3), 5).withColumn("split", layout.part(F.col("place"), 64))
+    return out.select("o_orderkey", "copy", "interleaved", "tiled", F.col("row").alias("fold"), F.col("column").alias("at"), "split")
 
 
-@query("batch_restore", "select o_orderkey, o_totalprice from orders")
+@query(
+    "batch_restore",
+    """with s as (select o_orderkey, o_totalprice, row_number() over (order by o_orderkey) - 1 as place, row_number() over (order by md5('4:' || o_orderkey), o_orderkey) - 1 as other from orders)
+select a.o_orderkey, a.other as went_to, b.o_totalprice as stands_there from s a join s b on b.other = a.place""",
+)
 def batch_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results that come in another order go back to their rows by the inverse of the permutation."""
-    from quillspark.operators.sampling import numbered
-    from quillspark.operators.supervision import hash_order
-
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    order = numbered(rows, [hash_order("4", "o_orderkey"), F.col("o_orderkey")], "p")
-    results = order.select(F.col("p").alias("q"), F.col("o_totalprice").alias("result"))
-    return order.join(results, F.col("p") == F.col("q")).select("o_orderkey", F.col("result").alias("o_totalprice"))
+    """A batch in another order, and results in that order given back to the rows that they are of."""
+    rows = layout.placed(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", [])
+    moved = numbered(rows, [hash_order("4", "o_orderkey"), F.col("o_orderkey")], "other")
+    there = moved.select(F.col("other").alias("place"), F.col("o_totalprice").alias("stands_there"))
+    return moved.select("o_orderkey", "place", F.col("other").alias("went_to")).join(there, "place").drop("place")
 
 
 @query("label_prefixes", f"with {STEPS}, l as (select source_key, step_index, case when score <= 0.125 then 0 when score >= 0.75 then 1 end as label from steps), p as (select *, sum(case when label is null then 1 else 0 end) over (partition by source_key order by step_index) as gone from l) select source_key, step_index, label from p where gone = 0")
@@ -177,21 +201,25 @@ def label_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(first, "source_key").where("first is null or step_index < first").select("source_key", "step_index", "label")
 
 
-@query("adaptive_kl", "with s as (select event_type, cast(ts as date) as day, avg(value) / 50 as kl, count(*) as n from events group by 1, 2) select event_type, day, round(0.2 * exp(sum(ln(1 + greatest(-0.2, least(0.2, kl / 0.9 - 1)) * n / 10000.0)) over (partition by event_type order by day)), 9) as coefficient from s")
+@query(
+    "adaptive_kl",
+    """with s as (select event_type, cast(ts as date) as day, avg(value) / 50 as kl, count(*) as n from events group by 1, 2), f as (select event_type, day, 1 + greatest(-0.2, least(0.2, kl / 0.9 - 1)) * n / 12 as f from s),
+c as (select event_type, day, 0.2 * list_reduce(list(f) over (partition by event_type order by day), lambda a, b: a * b) as c from f) select event_type, day, cast(sign(c) as int) as sign, round(ln(nullif(abs(c), 0)), 6) as size from c""",
+)
 def adaptive_kl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The coefficient after each update: a product of clipped factors, as a running sum of logarithms over one row a day."""
+    """Sign and logarithm of the coefficient after each update."""
     s = _events(spark, sf_dir).groupBy("event_type", F.to_date("ts").alias("day")).agg((F.avg("value") / 50).alias("kl"), F.count("*").alias("n"))
-    factor = 1 + F.greatest(F.lit(-0.2), F.least(F.lit(0.2), F.col("kl") / 0.9 - 1)) * F.col("n") / 10000.0
-    return s.withColumn("f", F.log(factor)).select("event_type", "day", F.round(0.2 * F.exp(F.expr("sum(f) over (partition by event_type order by day)")), 9).alias("coefficient"))
+    out = adaptive_coefficient(s, ["event_type"], "day", "kl", "n", 0.9, 12, 0.2)
+    return out.select("event_type", "day", F.signum("coefficient").cast("int").alias("sign"), F.round(F.log(F.nullif(F.abs("coefficient"), F.lit(0.0))), 6).alias("size"))
 
 
-@query("step_probabilities", "with t as (select user_id, event_id, value / 20 - 2 as l1, ln(1 + event_id % 9) as l0, event_type = 'error' as failed from events), p as (select user_id, case when failed then null else 1 / (1 + exp(l0 - l1)) end as p from t) select user_id, round(coalesce(avg(p), '-infinity'::double), 9) as score, count(p) as steps from p group by 1")
+@query("step_probabilities", "with t as (select user_id, value / 20 - 2 as l1, case when event_type <> 'error' then ln(1 + event_id % 9) end as l0, case when event_id % 97 = 0 then null else event_id % 2 end as hard from events), p as (select user_id, case when l0 is not null and l1 is not null then 1 / (1 + exp(l0 - l1)) else coalesce(hard::double, '-infinity'::double) end as p from t) select user_id, round(avg(p), 9) as score, count(p) as steps from p group by 1")
 def step_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chances of a 1 from two log-probabilities, and their mean; minus infinity without a step."""
-    l1, l0 = F.col("value") / 20 - 2, F.log(1 + F.col("event_id") % 9)
-    top = F.greatest(l0, l1)
-    p = F.when(F.col("event_type") != "error", F.exp(l1 - top) / (F.exp(l0 - top) + F.exp(l1 - top)))
-    return _events(spark, sf_dir).select("user_id", p.alias("p")).groupBy("user_id").agg(F.round(F.coalesce(F.avg("p"), F.lit(float("-inf"))), 9).alias("score"), F.count("p").alias("steps"))
+    """Mean chances of a 1, from log-probabilities or else from hard labels."""
+    l0 = F.when(F.col("event_type") != "error", F.log(1 + F.col("event_id") % 9))
+    hard = F.when(F.col("event_id") % 97 != 0, F.col("event_id") % 2)
+    p = checks.choice_probability(l0, F.col("value") / 20 - 2, hard)
+    return _events(spark, sf_dir).select("user_id", p.alias("p")).groupBy("user_id").agg(F.round(F.avg("p"), 9).alias("score"), F.count("p").alias("steps"))
 
 
 @query("value_loss", "with t as (select l_returnflag as part, l_tax * 10 as v, l_discount * 10 as old, l_quantity / 50 as ret, l_linestatus = 'O' as live from lineitem), c as (select *, greatest(old - 0.2, least(old + 0.2, v)) as vc from t) select part, round(avg(greatest((v - ret) * (v - ret), (vc - ret) * (vc - ret))) filter (live) / 2, 9) as loss, round(avg(case when (vc - ret) * (vc - ret) > (v - ret) * (v - ret) then 1.0 else 0.0 end) filter (live), 9) as clipped from c group by 1")
