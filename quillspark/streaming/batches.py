@@ -19,14 +19,14 @@ class NothingKept(RuntimeError):
     """A batch that cannot be filled."""
 
 
-def spread(scores: pd.Series) -> bool:
+def spread(scores: list[float]) -> bool:
     """Whether a group's scores differ."""
-    return bool(scores.max() > scores.min())
+    return max(scores) > min(scores)
 
 
 def between(low: float, high: float):
     """A rule: whether a group's mean score lies strictly between."""
-    return lambda scores: bool(low < scores.mean() < high)
+    return lambda scores: low < sum(scores) / len(scores) < high
 
 
 class FillBatches(StatefulProcessor):
@@ -45,53 +45,58 @@ class FillBatches(StatefulProcessor):
         self.tries = handle.getValueState("tries", "n int, done boolean")
         self.kept, self.first, self.open = (handle.getListState(x, _ROW) for x in ("kept", "first", "open"))
 
-    @staticmethod
-    def _frame(rows) -> pd.DataFrame:
-        return pd.DataFrame([tuple(r) for r in rows], columns=["try_no", "of", "uid", "sample", "score"])
-
-    @staticmethod
-    def _rows(frame: pd.DataFrame) -> list[tuple]:
-        return [(int(a), int(b), c, int(d), float(e)) for a, b, c, d, e in frame.itertuples(index=False)]
-
-    def _out(self, key: tuple, frame: pd.DataFrame, tries: int, outcome: str) -> pd.DataFrame:
+    def _out(self, key: tuple, rows: list[tuple], tries: int, outcome: str) -> pd.DataFrame:
         for state in (self.kept, self.first, self.open):
             state.clear()
-        for at in self.handle.listTimers():
-            self.handle.deleteTimer(at)
+        self._forget_timers()
         self.tries.update((tries, True))
-        return pd.DataFrame({"batch": key[0], "sample": frame["sample"], "uid": frame["uid"], "score": frame["score"], "tries": tries, "outcome": outcome})
+        return pd.DataFrame([(key[0], sample, uid, score, tries, outcome) for _, _, uid, sample, score in rows], columns=["batch", "sample", "uid", "score", "tries", "outcome"])
+
+    def _forget_timers(self) -> None:
+        if self.patience_ms is not None:
+            for at in [*self.handle.listTimers()]:
+                self.handle.deleteTimer(at)
+
+    @staticmethod
+    def _rows(state) -> list[tuple]:
+        return [tuple(r) for r in state.get()] if state.exists() else []
+
+    @staticmethod
+    def _keep(state, rows: list[tuple]) -> None:
+        state.put(rows) if rows else state.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         tries, done = self.tries.get() if self.tries.exists() else (0, False)
-        new = pd.concat([r[["try_no", "of", "uid", "sample", "score"]] for r in rows])
+        new = [(int(a), int(b), c, int(d), float(e)) for r in rows for a, b, c, d, e in r[["try_no", "of", "uid", "sample", "score"]].itertuples(index=False)]
         if done:  # tries that come late
             return
-        waiting = pd.concat([self._frame(self.open.get()), new], ignore_index=True)
-        kept = self._frame(self.kept.get())
-        while len(own := waiting[waiting["try_no"] == tries + 1]) and len(own) >= own["of"].iloc[0]:
-            own = own.sort_values(["uid", "sample"])
-            waiting = waiting[waiting["try_no"] > tries + 1]
+        waiting, kept = self._rows(self.open) + new, self._rows(self.kept)
+        while (own := [r for r in waiting if r[0] == tries + 1]) and len(own) >= own[0][1]:
+            own.sort(key=lambda r: (r[2], r[3]))
+            waiting = [r for r in waiting if r[0] > tries + 1]
             tries += 1
             if tries == 1:
-                self.first.put(self._rows(own))
-            taken = own[own.groupby("uid")["score"].transform(lambda s: self.rule(s)).astype(bool)]
-            if self.strict and taken.empty:
+                self.first.put(own)
+            groups: dict[str, list[tuple]] = {}
+            for r in own:
+                groups.setdefault(r[2], []).append(r)
+            taken = [r for g in groups.values() if self.rule([x[4] for x in g]) for r in g]
+            if self.strict and not taken:
                 raise NothingKept(f"no sample of try {tries} of batch {key[0]} is kept")
-            kept = pd.concat([kept, taken], ignore_index=True)
+            kept += taken
             if len(kept) >= self.size:
                 yield self._out(key, kept[: self.size], tries, "filled")
                 return
             if 0 < self.most <= tries:
                 if self.strict:
                     raise NothingKept(f"batch {key[0]} has {len(kept)} of {self.size} samples after {tries} tries")
-                yield self._out(key, self._frame(self.first.get()), tries, "fallback")
+                yield self._out(key, self._rows(self.first), tries, "fallback")
                 return
         self.tries.update((tries, False))
-        self.kept.put(self._rows(kept)) if len(kept) else self.kept.clear()
-        self.open.put(self._rows(waiting)) if len(waiting) else self.open.clear()
+        self._keep(self.kept, kept)
+        self._keep(self.open, waiting)
         if self.patience_ms is not None:
-            for at in self.handle.listTimers():
-                self.handle.deleteTimer(at)
+            self._forget_timers()
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -99,8 +104,7 @@ class FillBatches(StatefulProcessor):
         if not done:
             if self.strict:
                 raise NothingKept(f"batch {key[0]} waited too long after {tries} tries")
-            first = self._frame(self.first.get())
-            yield self._out(key, first if len(first) else self._frame(self.open.get()), tries, "fallback")
+            yield self._out(key, self._rows(self.first) or self._rows(self.open), tries, "fallback")
 
     def close(self) -> None:
         pass
