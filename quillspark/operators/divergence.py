@@ -70,7 +70,8 @@ def divergence(student: DataFrame, teacher: DataFrame, by: list[str], beta: floa
     else:
         met = met.withColumns({"_s": F.when(F.col("_hs"), F.col("_s")).otherwise(F.col("_t")), "_t": F.when(F.col("_ht"), F.col("_t")).otherwise(F.col("_s"))})
     chances = met.select(*by, _softmax(F.col("_s") / temperature, at).alias("ps"), _softmax(F.col("_t") / temperature, at).alias("pt"))
-    return chances.groupBy(*by).agg(F.sum(_jsd(F.col("ps"), F.col("pt"), beta)).alias("divergence"), F.count("*").alias("tokens"))
+    # never negative but by rounding
+    return chances.groupBy(*by).agg(F.greatest(F.lit(0.0), F.sum(_jsd(F.col("ps"), F.col("pt"), beta))).alias("divergence"), F.count("*").alias("tokens"))
 
 
 def distillation_loss(divergences: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def read_summaries(spark: SparkSession, root: str, strict: bool = True) -> DataF
     `backend` and `mode`; others give no row.  A file that is no JSON stops the job, or, if not
     strict, gives no row.
     """
-    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "{summary.json,*_summary.json}").option("wholetext", True).text(root).select("value", F.col("_metadata.file_path").alias("summary_path"))
+    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "{summary.json,*_summary.json}").text(root, wholetext=True).select("value", F.col("_metadata.file_path").alias("summary_path"))
     return summaries(texts, strict)
 
 
