@@ -1,23 +1,25 @@
 """Toxicity (operator 8) by compression distance.
 
-Two zstandard dictionaries are trained apart: one on ordinary text, one on the passages of
-toxic text that set it apart.  A window of a text is compressed with either; the bytes by
-which the toxic one does better are the window's distance.  A document's distance is its
-largest window's, and a monotone calibration on labelled rows that trained no dictionary
-turns it into a score.
+Two zstandard dictionaries are made apart: one of ordinary text, one of the passages of toxic
+text that set it apart.  A window of a text is compressed with either; the share of its bytes
+that the toxic one saves against the ordinary one, in hundredths of what there is to save, is
+the window's distance.  A document's distance is its largest window's, and a monotone
+calibration on labelled rows that made no dictionary turns it into a score.
 
 Toxic documents are ordinary text but for a few words, so that a dictionary of all their text
 is one of ordinary text.  The passages are the words whose first letters, or which whole,
 stand in more toxic documents than chance can explain (a likelihood ratio against the number
-of things looked at) and 20 times as often as in ordinary ones; they are taken as often as
-they occur.  A window is one word with the spaces around it, lower case, letters only; so that
-a match weighs more than the fixed costs of a short frame, every byte is spelled as three
-fixed pseudo-random bytes before training and compression alike.  Words recur, so workers
-keep a bounded table of windows already measured; that changes no result.
+of things looked at) and 20 times as often as in ordinary ones.  The toxic dictionary is the
+content of all of them, and the ordinary one that of the words of ordinary texts up to
+ORDINARY_BYTES; the most frequent stand last, where matches cost least.  A window is one word
+with the spaces around it, lower case, letters only; so that a match weighs more than the
+fixed costs of a short frame, every byte is spelled as three fixed pseudo-random bytes before
+it is compressed or put in a dictionary.  What there is to save is what the ordinary dictionary takes beyond the
+least that any passage takes with the toxic one.  Words recur, so workers keep a bounded table
+of windows already measured; that changes no result.
 
 Learning takes bounded samples: about `TOXIC_ROWS` and `ORDINARY_ROWS` labelled rows, chosen
-by a hash of doc_id and read whole, and for the ordinary dictionary `ORDINARY_WINDOWS` windows
-of five words, spread evenly over them.  Every document is scored whole.
+by a hash of doc_id and read whole.  Every document is scored whole.
 
 Edge cases: null and empty texts, and texts without a letter, have distance 0 and its
 calibrated score; very long texts are scored whole, in time linear in their length; windows of
@@ -43,13 +45,12 @@ from pyspark.sql import functions as F
 from quillspark.llm import words
 from quillspark.llm.common import ship, table
 
-TOXIC_ROWS, ORDINARY_ROWS, ORDINARY_WINDOWS = 1200, 4000, 40_000
-ORDINARY_BYTES, TOXIC_BYTES = 8000, 2000  # of the dictionaries; the toxic one grows with the passages, up to MOST_TOXIC_BYTES
-MOST_TOXIC_BYTES = 32_000
+TOXIC_ROWS, ORDINARY_ROWS = 1200, 4000
+ORDINARY_BYTES = 200_000  # of the ordinary dictionary; the toxic one holds every passage
 WINDOWS_KEPT = 500_000
 _NO_LETTER = re.compile(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]+")
 _SPELLED = [words.keys(256, 8)[i].tobytes()[3:6] for i in range(256)]
-_PARAMETERS = {"window_log": 16, "chain_log": 12, "hash_log": 14, "search_log": 6, "min_match": 6, "target_length": 32, "strategy": zstandard.STRATEGY_LAZY2}
+_PARAMETERS = {"window_log": 22, "chain_log": 20, "hash_log": 20, "search_log": 6, "min_match": 6, "target_length": 32, "strategy": zstandard.STRATEGY_LAZY2}
 
 
 def spell(text: bytes) -> bytes:
@@ -88,33 +89,31 @@ def passages(toxic: list[str], ordinary: list[str]) -> list[bytes]:
     return [b" " + w + b" " for t in toxic for w in windows(t) if any(m in apart for m in _marks(w))]
 
 
-def _dictionary(samples: list[bytes], size: int) -> bytes:
-    """The content of a trained dictionary; of too few samples, the samples."""
-    try:
-        return zstandard.train_dictionary(size, samples).as_bytes()[-size:]
-    except zstandard.ZstdError:
-        return b"".join(dict.fromkeys(samples))[-size:]
+def _content(counts: Counter[bytes], most: int | None = None) -> bytes:
+    """Windows as the content of a dictionary, the most frequent last; at most so many bytes of them."""
+    out = b"".join(spell(w) for w, _ in sorted(counts.items(), key=lambda x: (x[1], x[0])))
+    return out if most is None else out[-most:]
 
 
 class Model:
-    """Both dictionaries and the calibration."""
+    """Both dictionaries, the least that a passage takes with its own, and the calibration."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes, scores: np.ndarray):
-        self.ordinary, self.toxic, self.scores = ordinary, toxic, scores
+    def __init__(self, ordinary: bytes, toxic: bytes, least: int, scores: np.ndarray):
+        self.ordinary, self.toxic, self.least, self.scores = ordinary, toxic, least, scores
 
     @staticmethod
     def fit(rows: list[tuple[str, int]]) -> Model | None:
-        """From (text, label) rows: two of three of either label train the dictionaries, the third calibrates."""
+        """From (text, label) rows: two of three of either label make the dictionaries, the third calibrates."""
         kinds = [[r for r in rows if bool(r[1]) == kind] for kind in (True, False)]
         train, held = [r for own in kinds for i, r in enumerate(own) if i % 3 != 2], [r for own in kinds for r in own[2::3]]
         toxic, ordinary = list(dict.fromkeys(t for t, y in train if y)), list(dict.fromkeys(t for t, y in train if not y))
         if not toxic or not ordinary:
             return None
-        apart = passages(toxic, ordinary) or [b" " + w + b" " for t in toxic for w in windows(t)]
-        plain = [b" " + b" ".join(w[i : i + 5]) + b" " for t in ordinary for w in [windows(t)] for i in range(0, len(w), 5)]
-        plain = plain[:: -(-len(plain) // ORDINARY_WINDOWS) or 1]
-        size = min(MOST_TOXIC_BYTES, max(TOXIC_BYTES, 4 * sum(map(len, set(apart)))))
-        model = Model(_dictionary([spell(w) for w in plain], ORDINARY_BYTES), _dictionary([spell(w) for w in apart], size), np.zeros(0))
+        apart = Counter(passages(toxic, ordinary) or [b" " + w + b" " for t in toxic for w in windows(t)])
+        plain = Counter(b" " + w + b" " for t in ordinary for w in set(windows(t)))
+        model = Model(_content(plain, ORDINARY_BYTES), _content(apart), 0, np.zeros(0))
+        with_toxic = _compressor(model.toxic)
+        model.least = min((len(with_toxic.compress(spell(w))) for w in apart), default=0)
         measure = Measure(model)
         model.scores = _calibrated([(measure.text(t), y) for t, y in held or train])
         return model
@@ -141,15 +140,16 @@ class Measure:
     def __init__(self, model: Model):
         self.ordinary = _compressor(model.ordinary)
         self.toxic = _compressor(model.toxic)
-        self.scores = model.scores
+        self.least, self.scores = model.least, model.scores
         self.kept: dict[bytes, int] = {}
 
     def window(self, word: bytes) -> int:
-        """Bytes by which the toxic dictionary does better on a word."""
+        """Hundredths of what there is to save on a word that the toxic dictionary saves."""
         got = self.kept.get(word)
         if got is None:
             spelled = spell(b" " + word + b" ")
-            got = max(0, len(self.ordinary.compress(spelled)) - len(self.toxic.compress(spelled)))
+            plain = len(self.ordinary.compress(spelled))
+            got = max(0, min(100, round(100 * (plain - len(self.toxic.compress(spelled))) / max(1, plain - self.least))))
             if len(self.kept) >= WINDOWS_KEPT:
                 self.kept.clear()
             if len(word) < 64:
@@ -171,11 +171,11 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
 _LOADED: dict[tuple, Measure] = {}
 
 
-def _loaded(ordinary: bytes, toxic: bytes, scores: np.ndarray) -> Measure:
-    key = (ordinary, toxic, scores.tobytes())
+def _loaded(ordinary: bytes, toxic: bytes, least: int, scores: np.ndarray) -> Measure:
+    key = (ordinary, toxic, least, scores.tobytes())
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = Measure(Model(ordinary, toxic, scores))
+        _LOADED[key] = Measure(Model(ordinary, toxic, least, scores))
     return _LOADED[key]
 
 
@@ -188,7 +188,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: dict[int, int
         chance = F.when(F.col("label") == y, F.lit(min(1.0, most / max(1, counts.get(y, 1))))).otherwise(chance)
     order = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(8)), F.lit(1 << 40)) / float(1 << 40)
     picked = own.withColumn("_order", order).where(F.col("_order") < chance)
-    picked = F.broadcast(picked.limit(2 * sum(rows.values())))  # its size is bounded by `rows`
+    picked = F.broadcast(picked.orderBy("_order", "doc_id").limit(2 * sum(rows.values())))  # its size is bounded by `rows`
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text <> ''")
     return texts.join(picked, "doc_id").orderBy("_order", "doc_id", "text").limit(2 * sum(rows.values())).select("doc_id", "text", "label")
 
@@ -196,7 +196,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: dict[int, int
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, score and distance of every document's whole text."""
     ship(docs.sparkSession)
-    parts = docs.sparkSession.sparkContext.broadcast((model.ordinary, model.toxic, model.scores) if model else None)
+    parts = docs.sparkSession.sparkContext.broadcast((model.ordinary, model.toxic, model.least, model.scores) if model else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = _loaded(*parts.value) if parts.value else None

@@ -416,6 +416,51 @@ def test_toxicity(spark, docs, empty):
     assert {r.score for r in toxicity.score(docs, None).collect()} == {0.0}
 
 
+def test_toxicity_is_what_compressed_lengths_say():
+    """Distances and scores against lengths that are compressed here, with the same dictionaries."""
+    import zstandard
+
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("aeiourstln") for _ in range(rnd.randrange(2, 9)))
+    rows = [(" ".join([word() for _ in range(30)] + ["Bzkqwort,"] * (i % 3 == 0)), int(i % 3 == 0)) for i in range(90)]
+    model = toxicity.Model.fit(rows)
+    assert toxicity.spell(b" bzkqwort ") in model.toxic  # every passage, uncut
+
+    def length(text, content):
+        how = zstandard.ZstdCompressionParameters(**toxicity._PARAMETERS, write_content_size=False, write_dict_id=False, write_checksum=False)
+        return len(zstandard.ZstdCompressor(compression_params=how, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress(text))
+
+    def distance(text):
+        out = 0
+        for w in re.sub(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]+", b" ", text.lower().encode()).split():
+            spelled = b"".join(toxicity._SPELLED[c] for c in b" " + w + b" ")
+            plain, own = length(spelled, model.ordinary), length(spelled, model.toxic)
+            out = max(out, max(0, min(100, round(100 * (plain - own) / max(1, plain - model.least)))))
+        return out
+
+    measure = toxicity.Measure(model)
+    for text, label in rows[:24]:
+        assert measure.text(text) == distance(text)
+        assert (model.scores[min(distance(text), len(model.scores) - 1)] >= 0.5) == bool(label)
+    assert measure.text(None) == measure.text("12 !!") == 0
+
+
+def test_toxicity_on_the_given_labels():
+    """Held-out rows of the given tables.  A seventh of those labelled toxic hold no word that any other toxic text has; no word-wise method finds them."""
+    import pyarrow.parquet as pq
+
+    at = "/root/testdata/sf0.1"
+    label = {r["doc_id"]: r["toxic"] for r in pq.read_table(f"{at}/labels.parquet").to_pylist() if r["toxic"] is not None}
+    rows = [(r["doc_id"], r["text"], label[r["doc_id"]]) for r in pq.read_table(f"{at}/documents.parquet", columns=["doc_id", "text"]).to_pylist() if r["doc_id"] in label and r["text"]]
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    learn = [r[1:] for r in sorted(rows, key=lambda r: hashlib.md5(str(r[0]).encode()).digest()) if zlib.crc32(str(r[0]).encode()) % 5]
+    model = toxicity.Model.fit([r for r in learn if r[1]][: toxicity.TOXIC_ROWS] + [r for r in learn if not r[1]][: toxicity.ORDINARY_ROWS])
+    measure = toxicity.Measure(model)
+    said = [model.scores[min(measure.text(t), len(model.scores) - 1)] >= 0.5 for _, t, _ in held]
+    hits = sum(1 for s, r in zip(said, held, strict=True) if s and r[2])
+    assert hits >= 0.8 * sum(r[2] for r in held) and hits >= 0.9 * sum(said)
+
+
 def test_language(spark, docs, empty):
     rnd = random.Random(9)
     make = lambda parts: " ".join("".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 4))) for _ in range(60))
