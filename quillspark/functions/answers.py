@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.labels import strip
 
-_PUNCTUATION = "!\"#$%&'()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~ "
+# How rollouts state their answers, choices and numbers.
+BOXED = r"\\boxed\{([^{}]+)\}"
+NAMED_ANSWER = r"(?is)(?:^|\n)\s*(?:final\s+)?answer\s*:\s*(.+?)\s*$"
+LETTER_ALONE = r"(?i)^[\(\[\{]?\s*([A-I])\s*[\)\]\}]?\.?$"
+LETTER_BEFORE = r"(?i)^\s*([A-I])\s*[\)\].:,-]\s+.+"
+NUMBER = r"[-+]?(?:\d+(?:,\d{3})*|\d*\.\d+)(?:[eE][-+]?\d+)?"
 
 
 def cleanup(text: Column) -> Column:
@@ -21,16 +26,16 @@ def cleanup(text: Column) -> Column:
 def final_answer(text: Column) -> Column:
     """The last boxed text, else what follows `answer:`, else the last line that is not blank."""
     text = strip(F.coalesce(text, F.lit("")))
-    boxed = F.try_element_at(F.regexp_extract_all(text, F.lit(r"\\boxed\{([^{}]+)\}"), F.lit(1)), F.lit(-1))
-    named = F.nullif(F.regexp_extract(text, r"(?is)(?:^|\n)\s*(?:final\s+)?answer\s*:\s*(.+?)\s*$", 1), F.lit(""))
+    boxed = F.try_element_at(F.regexp_extract_all(text, F.lit(BOXED), F.lit(1)), F.lit(-1))
+    named = F.nullif(F.regexp_extract(text, NAMED_ANSWER, 1), F.lit(""))
     line = F.regexp_extract(text, r"([^\r\n]*)$", 1)
     return cleanup(F.coalesce(boxed, named, line))
 
 
 def letter(answer: Column) -> Column:
     """The choice letter of a cleaned answer, or an empty string."""
-    alone = F.regexp_extract(answer, r"(?i)^[\(\[\{]?\s*([A-I])\s*[\)\]\}]?\.?$", 1)
-    before = F.regexp_extract(answer, r"(?i)^\s*([A-I])\s*[\)\].:,-]\s+.+", 1)
+    alone = F.regexp_extract(answer, LETTER_ALONE, 1)
+    before = F.regexp_extract(answer, LETTER_BEFORE, 1)
     return F.upper(F.when(alone != "", alone).otherwise(before))
 
 
@@ -41,7 +46,7 @@ def compact(answer: Column) -> Column:
 
 def number(answer: Column, mode: str = "reference") -> Column:
     """The first number.  By default digits are tried before a fraction, so that 3.14 gives 3; mode `full` reads fractions."""
-    pattern = r"[-+]?(?:\d+(?:,\d{3})*|\d*\.\d+)(?:[eE][-+]?\d+)?" if mode == "reference" else r"[-+]?(?:\d*\.\d+|\d+\.?)(?:[eE][-+]?\d+)?"
+    pattern = NUMBER if mode == "reference" else r"[-+]?(?:\d*\.\d+|\d+\.?)(?:[eE][-+]?\d+)?"
     return F.regexp_extract(F.replace(answer, F.lit(","), F.lit("")), pattern, 0).try_cast("double")
 
 

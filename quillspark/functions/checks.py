@@ -16,6 +16,7 @@ LINE_CHOICE = r"(?is)(?:^|\n)\s*([A-I])[\)\].:]\s*(.+?)(?=\n\s*[A-I][\)\].:]|\z)
 FIRST_PAREN = r"(?i)\([A-I]\)"
 FIRST_LINE = r"(?i)(?:^|\n)\s*[A-I][\)\].:]\s+"
 IMAGE_TAG = r"(?i)<\s*image\s*>"
+TOO_MANY_TOKENS = r"(\d+)\s*>\s*(\d+)\s*-\s*(\d+)"
 
 
 def strict_scores(reply: Column, labels: Column) -> Column:
@@ -60,6 +61,12 @@ def choice_probability(log0: Column, log1: Column, hard: Column) -> Column:
     return F.when(both, F.exp(log1 - top) / (F.exp(log0 - top) + F.exp(log1 - top))).when(hard.isin(0, 1), hard.cast("double")).otherwise(float("-inf"))
 
 
+def retry_tokens(error: Column) -> Column:
+    """How many tokens a retry may ask for, by an error of the form `asked > most - given`: at least 1, null without one."""
+    part = lambda k: F.regexp_extract(error, TOO_MANY_TOKENS, k).try_cast("bigint")
+    return F.when(part(2).isNotNull() & part(3).isNotNull(), F.greatest(F.lit(1), part(2) - part(3)))
+
+
 def boxed_answers(text: Column) -> Column:
     """What each `\\boxed{` holds up to the brace that closes it, in order, braces within matched and white space at the ends off; one that is never closed, and what follows it, is none.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspark.functions.checks import SCORE_LIST
 from quillspark.functions.labels import strip
 
 _BLANK = r"^[ \t\r\n]+|[ \t\r\n]+$"
@@ -56,7 +57,7 @@ def _right_strip(text: Column) -> Column:
 
 def parse_scores(reply: Column, expected: int) -> Column:
     """0 or 1 for each number of a `{"Score": [...]}` reply, blank items apart; -2 for what is none, and for all if there are too few or many."""
-    inner = F.regexp_extract(F.coalesce(reply, F.lit("")), r'\{\s*"Score"\s*:\s*\[([^\]]*)\]\s*\}', 1)
+    inner = F.regexp_extract(F.coalesce(reply, F.lit("")), SCORE_LIST, 1)
     items = F.filter(F.transform(F.split(inner, ","), strip), lambda x: x != "")
     number = lambda x: x.try_cast("double")
     parts = F.transform(items, lambda x: F.when(number(x).isNull(), -2).when((number(x) > 0) & ~F.isnan(number(x)), 1).otherwise(0))

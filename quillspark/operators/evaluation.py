@@ -122,3 +122,18 @@ def wemath(rows: DataFrame, total: int = 525) -> DataFrame:
     )
     score = lambda k: (total - 0.5 * F.col("inadequate_generalization") - F.col(f"rote_memorization_{k}") - F.col("insufficient_knowledge")) / total
     return counts.withColumns({"score_strict": score("strict"), "score_loose": score("loose")})
+
+
+def pending_rows(rows: DataFrame, results: DataFrame, key: str, seq: str, mode: str, retry_errors: bool = False, retry_invalid: bool = False, first_mode: str = "full") -> DataFrame:
+    """Rows whose latest result does not count: there is none, it is of another mode (a result without one is of the first mode), or it has an error or could not be parsed and such are to be tried again.
+
+    results: key, an order, reward_mode, error, parse_error.  A null key has no result.
+    """
+    some = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
+    latest = latest_per_key(results.where(F.col(key).isNotNull()), key, seq)
+    counts = F.coalesce("reward_mode", F.lit(first_mode)) == mode
+    if retry_errors:
+        counts &= ~some("error")
+    if retry_invalid:
+        counts &= ~some("parse_error")
+    return rows.join(latest.where(counts).select(key), key, "left_anti")

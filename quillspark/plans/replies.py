@@ -242,11 +242,11 @@ def infer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("packed_positions", "with l as (select doc_id, doc_id // 8 as pack, cast(length(text) as bigint) as n from documents where length(text) <= 5000) select pack, doc_id, sum(n) over (partition by pack order by doc_id) - n as first, sum(n) over (partition by pack) as total, 0 as restarts_at from l")
+@query("packed_positions", "with l as (select doc_id, doc_id // 8 as pack, cast(length(text) as bigint) as n from documents where length(text) <= 5000) select pack, doc_id, sum(n) over (partition by pack order by doc_id) - n as first, sum(n) over (partition by pack) as total, max(n) over (partition by pack) as longest from l")
 def packed_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows joined into packs: where each begins, its positions starting anew at 0; rows that are too long drop out."""
     l = table(spark, sf_dir, "documents").selectExpr("doc_id", "doc_id div 8 as pack", "cast(length(text) as bigint) as n").where("n <= 5000")
-    return l.selectExpr("pack", "doc_id", "sum(n) over (partition by pack order by doc_id) - n as first", "sum(n) over (partition by pack) as total", "0 as restarts_at")
+    return l.selectExpr("pack", "doc_id", "sum(n) over (partition by pack order by doc_id) - n as first", "sum(n) over (partition by pack) as total", "max(n) over (partition by pack) as longest")
 
 
 @query("rouge_bigrams", """with p as (select a.conv_id, a.turn, list_filter(string_split(lower(a.text), ' '), lambda x: x <> '') as h, list_filter(string_split(lower(b.text), ' '), lambda x: x <> '') as r from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn + 1),

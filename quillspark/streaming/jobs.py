@@ -36,16 +36,17 @@ def pending(rows: DataFrame, log: DataFrame, key: str) -> DataFrame:
 PACKED = "shard bigint, pack bigint, ids array<bigint>, length bigint"
 
 
-def pack_stream(stream: DataFrame, capacity: int) -> DataFrame:
+def pack_stream(stream: DataFrame, capacity: int, patience_ms: int | None = None) -> DataFrame:
     """Packs of at most `capacity` tokens for each shard, next fit: what doesn't fill one is carried over to the next batch.
 
     stream: shard, id, length.  The state of a shard is one open pack; a longer row is a pack of
     its own.  A row without an id ends its shard: the open pack comes out, and the next starts anew.
+    With `patience_ms` an open pack also comes out once nothing came for so long.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         ids, total, number = state.get if state.exists else ([], 0, 0)
-        ids, out, ended = list(ids), [], False
+        ids, out, ended = list(ids), [], state.hasTimedOut
         for rows in batches:
             ended |= bool(rows["id"].isna().any())
             rows = rows[rows["id"].notna()]
@@ -59,9 +60,11 @@ def pack_stream(stream: DataFrame, capacity: int) -> DataFrame:
             out.append((key[0], number, ids, total))
             ids, total, number = [], 0, number + 1
         state.update((ids, total, number))
+        if patience_ms is not None and ids:
+            state.setTimeoutDuration(patience_ms)
         yield pd.DataFrame(out, columns=["shard", "pack", "ids", "length"])
 
-    return stream.groupBy("shard").applyInPandasWithState(step, PACKED, "ids array<bigint>, total bigint, number bigint", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("shard").applyInPandasWithState(step, PACKED, "ids array<bigint>, total bigint, number bigint", "append", GroupStateTimeout.NoTimeout if patience_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def ends(rows: DataFrame) -> DataFrame:
