@@ -83,8 +83,8 @@ def without_control_characters(text: Column) -> Column:
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
-    """A csv table with a fixed header."""
-    df.select(*columns).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """A csv table with a fixed header; blanks at the ends of texts stay."""
+    df.select(*columns).write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def append(df: DataFrame, path: str, kind: str = "json") -> None:
