@@ -12,6 +12,7 @@ BOXED = r"\\boxed\{([^{}]+)\}"
 NAMED_ANSWER = r"(?is)(?:^|\n)\s*(?:final\s+)?answer\s*:\s*(.+?)\s*$"
 LETTER_ALONE = r"(?i)^[\(\[\{]?\s*([A-I])\s*[\)\]\}]?\.?$"
 LETTER_BEFORE = r"(?i)^\s*([A-I])\s*[\)\].:,-]\s+.+"
+LETTER_MARKED = r"(?i)^([A-I])[)\].:,-]? ?\z"
 NUMBER = r"[-+]?(?:\d+(?:,\d{3})*|\d*\.\d+)(?:[eE][-+]?\d+)?"
 
 
@@ -32,8 +33,10 @@ def final_answer(text: Column) -> Column:
     return cleanup(F.coalesce(boxed, named, line))
 
 
-def letter(answer: Column) -> Column:
-    """The choice letter of a cleaned answer, or an empty string."""
+def letter(answer: Column, mode: str = "reference") -> Column:
+    """The choice letter of a cleaned answer, or an empty string.  By default a text may follow it, so that `A, the one` gives A; mode `marked` reads a letter with one mark behind it at most, and nothing else."""
+    if mode == "marked":
+        return F.upper(F.regexp_extract(answer, LETTER_MARKED, 1))
     alone = F.regexp_extract(answer, LETTER_ALONE, 1)
     before = F.regexp_extract(answer, LETTER_BEFORE, 1)
     return F.upper(F.when(alone != "", alone).otherwise(before))
