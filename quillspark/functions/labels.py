@@ -32,9 +32,13 @@ def polarity(scores: Column, low: float = TAU_NEGATIVE, high: float = TAU_POSITI
     }
 
 
+#: White space by Unicode.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    """Without white space at either end, by Unicode."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space at either end, by Unicode; what lies between is not searched."""
+    return F.trim(text, F.lit(BLANKS))
 
 
 def question(text: Column) -> Column:
