@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillspark.functions.labels import strip
+from quillspark.functions.responses import last_of_each, once
 from quillspark.functions.toolcalls import split_parts
 
 # How replies state scores and rewards.
@@ -91,27 +92,24 @@ def balanced_boxed(text: Column) -> Column:
     return F.try_element_at(boxed_answers(text), F.lit(-1))
 
 
-def _last_of_each(pairs: Column) -> Column:
-    """A map of (k, v) entries of which the last of each k counts."""
-    return F.map_from_entries(F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["k"] == x["k"])))
-
-
 def choices(question: Column) -> Column:
     """Letter -> text of choices in parentheses, `(A) this (B) that`, else at the starts of lines, `A. this`.
 
     Text before the first mark does not count, white space within a choice becomes one blank, and
     of one letter the last choice counts.
     """
-    text = F.coalesce(question, F.lit(""))
-    at = lambda pattern: F.nullif(F.regexp_instr(text, F.lit(pattern)), F.lit(0))
-    text = F.substring(text, F.coalesce(F.least(at(FIRST_PAREN), at(FIRST_LINE)), F.lit(1)), F.length(text))
 
-    def found(pattern: str) -> Column:
-        pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("k"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("v"))
-        return F.transform(pairs, lambda x: F.struct(F.upper(x["k"]).alias("k"), F.regexp_replace(strip(x["v"]), r"(?U)\s+", " ").alias("v")))
+    def found(text: Column, pattern: str, letter: int) -> Column:
+        # a match, without white space, starts with its mark: the letter, of which the place is known, and a sign
+        one = lambda x: F.struct(F.upper(F.substring(x, letter, 1)).alias("k"), F.regexp_replace(strip(F.substring(x, F.lit(letter + 2), F.length(x))), r"(?U)\s+", " ").alias("v"))
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: once(strip(x), one))
+
+    def marked(text: Column) -> Column:
+        at = lambda pattern: F.nullif(F.regexp_instr(text, F.lit(pattern)), F.lit(0))
+        return F.substring(text, F.coalesce(F.least(at(FIRST_PAREN), at(FIRST_LINE)), F.lit(1)), F.length(text))
 
-    paren = found(PAREN_CHOICE)
-    return F.when(F.size(paren) > 0, _last_of_each(paren)).otherwise(_last_of_each(found(LINE_CHOICE)))
+    pairs = lambda text: once(found(text, PAREN_CHOICE, 2), lambda p: F.when(F.size(p) > 0, p).otherwise(found(text, LINE_CHOICE, 1)))
+    return F.map_from_entries(last_of_each(once(once(F.coalesce(question, F.lit("")), marked), pairs), "k"))
 
 
 def image_tags(text: Column, images: Column) -> Column:

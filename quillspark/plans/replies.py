@@ -93,7 +93,8 @@ def choice_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size").cast("string")
     p = F.concat(F.lit("Which (of a) "), "p_name", F.lit("? (a) "), "p_brand", F.lit("\n (B)  "), F.replace("p_name", F.lit(" "), F.lit(" \n ")), F.lit(" (C) "), size, F.lit("\n(b) "), "p_type")
     lines = F.concat(F.lit("Which is it:\nA. "), "p_brand", F.lit("  x\n b) "), "p_name", F.lit("\nC: "), size, F.lit("\na] "), "p_type")
-    rows = table(spark, sf_dir, "part").select("p_partkey", checks.choices(F.when(F.col("p_partkey") % 3 < 2, p).otherwise(lines)).alias("m"))
+    # a narrow table comes in few splits: its rows are dealt out before their texts are read
+    rows = table(spark, sf_dir, "part").repartition("p_partkey").select("p_partkey", checks.choices(F.when(F.col("p_partkey") % 3 < 2, p).otherwise(lines)).alias("m"))
     return rows.select("p_partkey", *(F.try_element_at("m", F.lit(k)).alias(k.lower()) for k in "ABC"))
 
 
