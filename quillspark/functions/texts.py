@@ -64,6 +64,24 @@ def parse_scores(reply: Column, expected: int) -> Column:
     return F.when(F.size(parts) == expected, parts).otherwise(F.array_repeat(F.lit(-2), expected))
 
 
+def shared_words(a: Column, b: Column, times_a: Column, times_b: Column) -> Column:
+    """How many words two lists share, each as often as the list that has it less often, when a list counts a number of times.
+
+    One pass over both lists' words in order, with the counts of the word at hand.
+    """
+    zero = F.lit(0).cast("bigint")
+    side = lambda words, in_a: F.transform(words, lambda w: F.struct(w.alias("w"), F.lit(in_a).cast("bigint").alias("a")))
+    done = lambda s: s["shared"] + F.least(s["a"] * times_a, s["b"] * times_b)
+
+    def step(s: Column, x: Column) -> Column:
+        same = x["w"] == s["w"]
+        before = lambda n: F.when(same, n).otherwise(zero)
+        return F.struct(x["w"].alias("w"), (before(s["a"]) + x["a"]).alias("a"), (before(s["b"]) + 1 - x["a"]).alias("b"), F.when(same, s["shared"]).otherwise(done(s)).alias("shared"))
+
+    start = F.struct(F.lit("").alias("w"), zero.alias("a"), zero.alias("b"), zero.alias("shared"))
+    return F.aggregate(F.array_sort(F.concat(side(a, 1), side(b, 0))), start, step, done)
+
+
 def redact(text: Column) -> Column:
     """Both ends of a secret: six and four characters, or the first two of one that has ten at most; nothing of an empty one."""
     long = F.concat(F.left(text, F.lit(6)), F.lit("***"), F.right(text, F.lit(4)))

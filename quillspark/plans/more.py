@@ -15,10 +15,21 @@ from quillspark.sources.preprocessors import scaled
 _PAIRS = "p as (select a.conv_id, a.turn, a.text as hyp, b.text as ref from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn + 1)"
 
 
+#: Texts that meet in one task.
+TEXTS = 10_000
+
+
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    b = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("ref"))
-    return t.withColumnRenamed("text", "hyp").join(b, ["conv_id", "turn"])
+    """conv_id, turn, hyps, refs: the texts of a turn and those of the next, of which each is one unless rows recur; null is empty.
+
+    The parts grow with the texts, so that a task sorts no more of a larger table.
+    """
+    t = table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    none = F.lit(None).cast("string")
+    both = t.select("conv_id", "turn", F.col("text").alias("hyp"), none.alias("ref")).unionAll(t.select("conv_id", F.col("turn") - 1, none, "text"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * t.count() // TEXTS)
+    lists = both.repartition(parts, "conv_id", "turn").groupBy("conv_id", "turn").agg(F.collect_list("hyp").alias("hyps"), F.collect_list("ref").alias("refs"))
+    return lists.where("size(hyps) > 0 and size(refs) > 0")
 
 
 @query(
@@ -28,11 +39,12 @@ c as (select conv_id, turn, w, sum(h) as h, sum(r) as r from h group by 1, 2, 3)
 )
 def rouge_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean overlap F of the words of neighbouring turns; empty texts drop out."""
-    p = _pairs(spark, sf_dir)
-    side = lambda c, h: p.select("conv_id", "turn", F.explode(F.split(F.lower(c), " ")).alias("w"), F.lit(h).alias("h"), F.lit(1 - h).alias("r"))
-    c = side("hyp", 1).unionAll(side("ref", 0)).where("w <> ''").groupBy("conv_id", "turn", "w").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
-    f = c.groupBy("conv_id", "turn").agg(F.sum(F.least("h", "r")).alias("both"), F.sum("h").alias("sh"), F.sum("r").alias("sr")).where("sh > 0 and sr > 0")
-    return f.agg(F.bround(100 * F.avg(2.0 * F.col("both") / (F.col("sh") + F.col("sr"))), 6).alias("rouge_1"), F.count("*").alias("pairs"))
+    words = lambda c: F.filter(F.flatten(F.transform(c, lambda t: F.split(F.lower(t), " "))), lambda w: w != "")
+    p = _pairs(spark, sf_dir).select(words("hyps").alias("h"), words("refs").alias("r"), F.size("hyps").cast("bigint").alias("nh"), F.size("refs").cast("bigint").alias("nr"))
+    p = p.where("size(h) > 0 and size(r) > 0")
+    shared = texts.shared_words(F.col("h"), F.col("r"), F.col("nr"), F.col("nh"))  # each text stands in as many pairs as the other side has
+    f = p.select((2.0 * shared / (F.size("h") * F.col("nr") + F.size("r") * F.col("nh"))).alias("f"))
+    return f.agg(F.bround(100 * F.avg("f"), 6).alias("rouge_1"), F.count("*").alias("pairs"))
 
 
 @query(
