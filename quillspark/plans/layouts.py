@@ -9,6 +9,13 @@ from quillspark.operators import balance, divergence, layout, validity
 from quillspark.operators.relations import STEPS, steps, table
 from quillspark.plans.registry import query
 from quillspark.sources import discovery
+from quillspark.sources.scratch import kept
+
+
+def _offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source_key, n, place, start, end: the places of each source's steps in one row; the sizes, which are counted once, are read by each pass over them."""
+    sizes = kept(table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("source_key")).agg(F.count("*").alias("n")), "sizes")
+    return layout.offsets(layout.placed(sizes, "source_key", []), "n")
 
 
 @query(
@@ -18,9 +25,7 @@ select source_key, row_number() over (order by source_key) - 1 as place, cast(su
 )
 def flat_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each source's steps lie when all stand in one row."""
-    sizes = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("source_key")).agg(F.count("*").alias("n"))
-    out = layout.offsets(layout.placed(sizes, "source_key", []), "n")
-    return out.select("source_key", "place", F.col("start").alias("first"), F.col("end").alias("last"))
+    return _offsets(spark, sf_dir).select("source_key", "place", F.col("start").alias("first"), F.col("end").alias("last"))
 
 
 @query(
@@ -31,7 +36,7 @@ select source_key, case when len(v) >= 4 then v[len(v) - 3:] else list_transform
 def padded_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores that stand in one row of all sources, given back to each source, padded on the left."""
     items = steps(spark, sf_dir).select("source_key", "step_index", F.coalesce("score", F.lit(-1.0)).alias("value"))
-    rows = layout.offsets(layout.placed(items.groupBy("source_key").agg(F.count("*").alias("n")), "source_key", []), "n")
+    rows = kept(_offsets(spark, sf_dir), "offsets")
     flat = items.join(rows.select("source_key", "start"), "source_key").select((F.col("start") + F.col("step_index")).alias("at"), "value")
     out = layout.padded(flat, rows, 4, F.lit(-9.0))
     return out.select("source_key", F.col("values").alias("scores"), "mask")

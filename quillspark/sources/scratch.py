@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -21,3 +21,10 @@ def scratch(spark: SparkSession, name: str) -> str:
         else:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{base}/quillspark/{name}-{uuid.uuid4().hex}"
+
+
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """The rows, written to a scratch folder and read back: what several steps read is made once."""
+    path, schema = scratch(rows.sparkSession, name), rows.schema
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(schema).parquet(path)
