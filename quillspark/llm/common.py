@@ -121,6 +121,24 @@ def copies(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
+#: Bits of the bitmap of likely(), 2 MB, and of each of its rows (4 KB, which bitmap_construct_agg() fixes).
+BITS, BITS_OF_ROW = 1 << 24, 1 << 15
+
+
+def likely(rows: DataFrame, keys: DataFrame, by: str) -> DataFrame:
+    """The rows whose number is among the keys (not null), and those few whose hash meets a key's.
+
+    A bitmap of the keys' hashes, of fixed size, is broadcast: rows of long texts stay where they are,
+    and only what passes moves to an exact join.
+    """
+    at = F.pmod(F.xxhash64(F.col(by).cast("bigint")), F.lit(BITS))
+    place = lambda df: df.withColumns({"_part": F.floor(at / BITS_OF_ROW).cast("int"), "_bit": at % BITS_OF_ROW})
+    bits = place(keys.select(by)).groupBy("_part").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(F.col("_bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.floor(byte / F.pow(F.lit(2), F.col("_bit") % 8)) % 2 == 1
+    return place(rows).join(F.broadcast(bits), "_part").where(hit).select(*rows.columns)  # 512 rows at most
+
+
 #: A key with more than this share of all rows is hot; there are at most so many.
 MOST_HOT = 4096
 

@@ -40,7 +40,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.llm import words
-from quillspark.llm.common import copies, drop, save, ship, slices, spread, table
+from quillspark.llm.common import copies, drop, likely, save, ship, slices, spread, table
 
 BANDS, ROWS = 32, 5
 #: Sets with more rare shingles than this may be named with one partner in several buckets, which costs a test again and loses no link.
@@ -178,7 +178,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, per: int = 80, of: int = 100
     shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     hits = save(banded.join(shared, "band", "left_semi").select("band", "doc_id"), "hits")
     drop(banded)
-    sets = full_sets(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(hits.select("doc_id").distinct(), "doc_id", "left_semi"), size)
+    wanted = hits.select("doc_id").distinct()
+    texts = likely(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), wanted, "doc_id")
+    sets = full_sets(texts.join(wanted, "doc_id", "left_semi"), size)
     sets = save(sets.where(F.size("shingles") > 0), "sets")
     # shingles that no other set has bound a set's similarity to every other: most that share a band by chance or by a passage end here
     alone = sets.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id = last").groupBy("doc_id").agg(F.count("*").alias("u"))
