@@ -11,6 +11,8 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 from pathlib import Path
 
 import numpy as np
@@ -116,27 +118,35 @@ def spread(rows: DataFrame, by: str) -> DataFrame:
     return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
 
 
+def salts() -> Column:
+    """An aggregate: the parts of spread() that hold rows of the group, as bits."""
+    return F.bit_or(F.expr("shiftleft(1, _salt)"))
+
+
 def copies(rows: DataFrame) -> DataFrame:
-    """Each row once for every `_salt`: the side that meets spread() rows."""
-    return rows.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """Each row once for every `_salt` of its `salts`: the side that meets spread() rows."""
+    return rows.withColumn("_salt", F.expr(f"explode(filter(sequence(0, {SALTS - 1}), k -> (salts & shiftleft(1, k)) <> 0))")).drop("salts")
 
 
-#: Bits of the bitmap of likely(), 2 MB, and of each of its rows (4 KB, which bitmap_construct_agg() fixes).
-BITS, BITS_OF_ROW = 1 << 24, 1 << 15
+#: Bits of the filter of likely(), 4 MB, and of each of its rows (4 KB, which bitmap_construct_agg() fixes); bits that a key sets in its row.
+BITS, BITS_OF_ROW, BITS_OF_KEY = 1 << 25, 1 << 15, 3
 
 
 def likely(rows: DataFrame, keys: DataFrame, by: str) -> DataFrame:
-    """The rows whose number is among the keys (not null), and those few whose hash meets a key's.
+    """The rows whose number is among the keys (of any multiplicity, not null), and those few whose hashes meet other keys'.
 
-    A bitmap of the keys' hashes, of fixed size, is broadcast: rows of long texts stay where they are,
-    and only what passes moves to an exact join.
+    A Bloom filter of fixed size is broadcast, so that no row moves: with two million keys, one other row
+    in 200 passes. What follows must bear those; a left semi join for the exact ones does not do, since
+    Spark's optimizer moves it below the filter and shuffles all rows.
     """
-    at = F.pmod(F.xxhash64(F.col(by).cast("bigint")), F.lit(BITS))
-    place = lambda df: df.withColumns({"_part": F.floor(at / BITS_OF_ROW).cast("int"), "_bit": at % BITS_OF_ROW})
-    bits = place(keys.select(by)).groupBy("_part").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
-    byte = F.conv(F.hex(F.substring("_bits", (F.floor(F.col("_bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = F.floor(byte / F.pow(F.lit(2), F.col("_bit") % 8)) % 2 == 1
-    return place(rows).join(F.broadcast(bits), "_part").where(hit).select(*rows.columns)  # 512 rows at most
+    key = F.col(by).cast("bigint")
+    part = F.pmod(F.xxhash64(key), F.lit(BITS // BITS_OF_ROW)).cast("int").alias("_part")
+    marks = [F.pmod(F.xxhash64(key, F.lit(k)), F.lit(BITS_OF_ROW)) for k in range(BITS_OF_KEY)]
+    bits = keys.select(part, F.explode(F.array(*marks)).alias("_bit")).groupBy("_part").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = lambda at: F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = [F.floor(byte(at) / F.pow(F.lit(2), at % 8)) % 2 == 1 for at in marks]
+    near = rows.withColumn("_part", part).join(F.broadcast(bits), "_part")  # 1024 rows at most
+    return near.where(reduce(and_, hit)).select(*rows.columns)
 
 
 #: A key with more than this share of all rows is hot; there are at most so many.

@@ -40,7 +40,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.llm import words
-from quillspark.llm.common import copies, drop, likely, save, ship, slices, spread, table
+from quillspark.llm.common import copies, drop, likely, salts, save, ship, slices, spread, table
 
 BANDS, ROWS = 32, 5
 #: Sets with more rare shingles than this may be named with one partner in several buckets, which costs a test again and loses no link.
@@ -154,8 +154,8 @@ def _stars(edges: DataFrame) -> bool:
 
 def _linked(pairs: DataFrame, sets: DataFrame, per: int, of: int) -> DataFrame:
     """Those pairs (a, b) whose sets' intersection is at least per/of of their union."""
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+    named = lambda side: likely(sets, pairs.select(F.col(side).alias("doc_id")), "doc_id").select(F.col("doc_id").alias(side), F.col("shingles").alias(f"s{side}"))
+    both = pairs.join(named("a"), "a").join(named("b"), "b")
     both = both.withColumn("shared", F.size(F.array_intersect("sa", "sb")))
     return both.where(of * F.col("shared") >= per * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b").distinct()
 
@@ -173,15 +173,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, per: int = 80, of: int = 100
     full = sketched.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     members = save(full.select("doc_id", "k1", "k2", "n_shingles").join(classes, ["k1", "k2", "n_shingles"]).select("doc_id", "n_shingles", "rep", "k1", "k2"), "members")
-    firsts = full.join(members.where("doc_id = rep").select("doc_id", "k1", "k2").distinct(), ["doc_id", "k1", "k2"], "left_semi")
-    banded = save(firsts.select("doc_id", F.explode("bands").alias("band")).distinct(), "bands")
+    firsts = full.join(members.where("doc_id = rep").select("doc_id", "k1", "k2").distinct(), ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
+    # rows that share a doc_id and a band give it twice, which only costs
+    banded = save(firsts.select("doc_id", F.explode("bands").alias("band")), "bands")
     shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     hits = save(banded.join(shared, "band", "left_semi").select("band", "doc_id"), "hits")
     drop(banded)
-    wanted = hits.select("doc_id").distinct()
-    texts = likely(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), wanted, "doc_id")
-    sets = full_sets(texts.join(wanted, "doc_id", "left_semi"), size)
-    sets = save(sets.where(F.size("shingles") > 0), "sets")
+    # no text moves; the few sets of other documents that pass make the bounds no tighter, and no bucket holds them
+    texts = likely(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null"), hits, "doc_id")
+    sets = save(full_sets(texts, size).where(F.size("shingles") > 0), "sets")
     # shingles that no other set has bound a set's similarity to every other: most that share a band by chance or by a passage end here
     alone = sets.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id = last").groupBy("doc_id").agg(F.count("*").alias("u"))
     # a doc_id with several rows has no bounds (null)
@@ -201,8 +201,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, per: int = 80, of: int = 100
         # pivots are members with few shingles of their own, to which the others most likely link
         slot = F.pmod(F.xxhash64("doc_id", "band"), F.lit(pivots))
         rank = F.col("u") * (1 << 20) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-        chosen = open_.groupBy("band", slot.alias("slot")).agg(F.min_by(F.struct("doc_id", "n", "u", "comp", "earlier", "place"), rank).alias("p"))
-        chosen = save(chosen.selectExpr("band", "p.doc_id as pivot", "p.n as m", "p.u as v", "p.comp as pcomp", "p.earlier as pearlier", "p.place as pplace"), "pivots")
+        chosen = open_.groupBy("band", slot.alias("slot")).agg(F.min_by(F.struct("doc_id", "n", "u", "comp", "earlier", "place", "salts"), rank).alias("p"))
+        chosen = save(chosen.selectExpr("band", "p.doc_id as pivot", "p.n as m", "p.u as v", "p.comp as pcomp", "p.earlier as pearlier", "p.place as pplace", "p.salts as salts"), "pivots")
         pairs = spread(open_, "doc_id").join(copies(chosen), ["band", "_salt"]).where(f"doc_id <> pivot and comp <> pcomp and {possible} and coalesce(not arrays_overlap(earlier, pearlier), true) and {reach}")
         pairs = pairs.select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
         for old in tested:
@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, per: int = 80, of: int = 100
                 left = left.drop("comp").join(comps, left.doc_id == comps.node, "left").select("band", "doc_id", "n", "u", F.coalesce("component", "doc_id").alias("comp"), "earlier", "place")
         left = _unsettled(left)
         if first:
-            left = _unsettled(_prefixes(save(left, "bands-left"), sets, per, of))
+            left = _unsettled(save(_prefixes(save(left, "bands-left"), sets, per, of), "prefixes"))
         new = save(left, "open")
         drop(open_)
         drop(chosen)
@@ -240,9 +240,9 @@ def _prefixes(rows: DataFrame, sets: DataFrame, per: int, of: int) -> DataFrame:
     Two such sets share a shingle among the n - ceil(n * per / of) + 1 rarest of each, in one order for all.
     """
     live = rows.select("doc_id", "n", "u", "comp").distinct()
-    each = sets.join(live, "doc_id").select("doc_id", "n", "u", "comp", F.explode("shingles").alias("band"))
+    each = likely(sets, rows, "doc_id").select("doc_id", F.explode("shingles").alias("band"))
     common = each.groupBy("band").agg(F.count("*").alias("df")).where("df > 1")
-    shared = each.join(common, "band")
+    shared = each.join(common, "band").join(live, "doc_id")  # shingles move, not sets; only here do sets of other documents end
     alone = F.col("n") - F.count("*").over(W.partitionBy("doc_id"))  # these come first in a set's order
     place = F.row_number().over(W.partitionBy("doc_id").orderBy("df", "band")) + alone
     most = F.col("n") - F.ceil(F.col("n") * per / of) + 1
@@ -253,9 +253,11 @@ def _prefixes(rows: DataFrame, sets: DataFrame, per: int, of: int) -> DataFrame:
 
 
 def _unsettled(rows: DataFrame) -> DataFrame:
-    """The rows of bands with more than one component."""
-    mixed = rows.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-    return spread(rows, "doc_id").join(copies(mixed), ["band", "_salt"], "left_semi").drop("_salt")
+    """The rows of bands with more than one component, and `salts` of their band."""
+    rows = spread(rows, "doc_id")
+    mixed = rows.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), salts().alias("salts")).where("lo <> hi").select("band", "salts")
+    met = mixed.withColumn("of_band", F.col("salts"))
+    return rows.join(copies(met), ["band", "_salt"]).drop("_salt").withColumnRenamed("of_band", "salts")
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
