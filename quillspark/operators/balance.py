@@ -25,10 +25,10 @@ def greedy_plan(histogram: list[tuple[int, int]], parts: int, equal_size: bool =
     """Steps (length, from, to, period, low, high, part) of the assignment of the longest rows first, each to a part of least load.
 
     A row of that length and of rank r, from <= r < to, goes to part + (r - from) % period - low if
-    low <= (r - from) % period < high.  Parts of equal loads are one entry of a heap, and once all
-    loads are within a length of each other the rest of that length is dealt in whole laps, so
-    that the plan grows with the lengths and not with the rows.  With equal_size, counts are levelled
-    before loads.
+    low <= (r - from) % period < high.  Parts of equal loads are one entry of a heap, which takes whole
+    laps until it reaches the next one, and once all loads are within a length of each other the
+    rest of that length is dealt in whole laps, so that the plan grows with the lengths and not with
+    the rows or the longest row.  With equal_size, counts are levelled before loads.
     """
     bias = sum(n * c for n, c in histogram) + 1 if equal_size else 0
     groups: dict[int, list[tuple[int, int]]] = {0: [(0, parts)]}  # load -> ranges of parts
@@ -60,13 +60,15 @@ def greedy_plan(histogram: list[tuple[int, int]], parts: int, equal_size: bool =
             for lo, hi in taken:
                 place += hi - lo
             total, place = place, 0
+            most = left // total
+            laps = most if not weight else max(1, min(most, -(-(heap[0] - least) // weight))) if heap else 1
             for lo, hi in taken:
-                steps.append((n, rank, rank + total, total, place, place + hi - lo, lo))
+                steps.append((n, rank, rank + laps * total, total, place, place + hi - lo, lo))
                 place += hi - lo
-            rank += total
+            rank += laps * total
             if kept:
                 put(least, kept)
-            put(least + weight, taken)
+            put(least + laps * weight, taken)
     return steps
 
 
@@ -120,12 +122,15 @@ def balanced(rows: DataFrame, length: str, order: str, parts: int, equal_size: b
     return met.withColumn("part", F.col("_part") + at - F.col("_low")).drop("_length", "_rank", *plan.columns)
 
 
-def budget_batches(rows: DataFrame, length: str, order: str, most: int) -> DataFrame:
-    """Rows with `batch`: as many balanced batches as their total needs at `most` tokens each (fewer rows than that: one each), those of the greatest sum of squared lengths first, which is what attention costs; ties by the least order."""
+def budget_batches(rows: DataFrame, length: str, order: str, most: int, strict: bool = True) -> DataFrame:
+    """Rows with `batch`: as many balanced batches as their total needs at `most` tokens each (fewer rows than that: one each; no tokens: none, and null), those of the greatest sum of squared lengths first, which is what attention costs; ties by the least order.
+
+    A row longer than a batch is an error; if not strict, it is dealt like the others, and its batch is beyond `most`.
+    """
     size = rows.agg(F.count("*").alias("n"), F.sum(length).alias("total"), F.max(length).alias("longest")).first()
-    if not size.n:
+    if not size.total:
         return rows.withColumn("batch", F.lit(None).cast("bigint"))
-    if size.longest > most:
+    if strict and size.longest > most:
         raise ValueError(f"a row of {size.longest} is longer than a batch of {most}")
     dealt = balanced(rows, length, order, min(size.n, -(-size.total // most)))
     cost = dealt.groupBy("part").agg(F.sum(F.col(length).cast("double") * F.col(length)).alias("_cost"), F.min(order).alias("_first"))

@@ -151,7 +151,8 @@ select cast(k as bigint) as batches, cast(total as bigint) as total, true as wit
 def budgeted_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of texts by a budget of tokens: how many, and whether loads are within a text of each other and the dearest come first."""
     rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.expr("length(text) div 64").alias("n"))
-    each = balance.budget_batches(rows, "n", "doc_id", 2000).groupBy("batch").agg(F.sum("n").alias("load"), F.max("n").alias("longest"), F.sum(F.col("n") * F.col("n")).alias("cost"))
+    each = balance.budget_batches(rows, "n", "doc_id", 2000, strict=False).groupBy("batch").agg(F.sum("n").alias("load"), F.max("n").alias("longest"), F.sum(F.col("n") * F.col("n")).alias("cost"))
     following = each.select((F.col("batch") - 1).alias("batch"), F.col("cost").alias("next"))
-    out = each.join(following, "batch", "left").agg(F.count("*").alias("batches"), F.sum("load").alias("total"), (F.max("load") - F.min("load") <= F.max("longest")).alias("within"), F.min(F.coalesce(F.col("cost") >= F.col("next"), F.lit(True))).alias("ordered"))
+    within, ordered = F.max("load") - F.min("load") <= F.max("longest"), F.min(F.col("cost") >= F.col("next"))
+    out = each.join(following, "batch", "left").agg(F.count("batch").alias("batches"), F.sum("load").alias("total"), F.coalesce(within, F.lit(True)).alias("within"), F.coalesce(ordered, F.lit(True)).alias("ordered"))
     return out
